@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import boilerplate, pieces, secrets
-from cadenza.llm.common import table
+from cadenza.llm import boilerplate, pieces, secrets, warc
+from cadenza.llm.common import scratch, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -24,6 +24,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.archive_pages(table(spark, sf_dir, "pages"), path)
+    return warc.digests(spark, path)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -33,9 +39,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece, op5_line_dedup, op6_secrets]
+    found = [op2_sentencepiece, op4_warc, op5_line_dedup, op6_secrets]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": boilerplate.oracle()}
+    return {
+        "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+g AS (SELECT page_id, n, sha1(h) AS d, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to FROM g
+""",
+        "op5_line_dedup": boilerplate.oracle(),
+    }
