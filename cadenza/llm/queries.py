@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import boilerplate, neardup, pieces, secrets, warc
+from cadenza.llm import boilerplate, neardup, pieces, secrets, suffixes, warc
 from cadenza.llm.common import scratch, table
 
 
@@ -38,12 +38,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece, op4_warc, op5_line_dedup, op6_secrets, op9_minhash]
+    found = [op2_sentencepiece, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op9_minhash]
     return {f.__name__: f for f in found}
 
 
