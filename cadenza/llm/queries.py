@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import boilerplate, neardup, pieces, secrets, suffixes, warc
+from cadenza.llm import boilerplate, neardup, pieces, secrets, suffixes, toxicity, warc
 from cadenza.llm.common import scratch, table
 
 
@@ -24,6 +24,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.archive_pages(table(spark, sf_dir, "pages"), path)
@@ -47,7 +51,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op9_minhash]
+    found = [op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op9_minhash]
     return {f.__name__: f for f in found}
 
 
