@@ -8,8 +8,10 @@ order by deep-shallow sorting: multikey quicksort to a shallow depth, then a bli
 Joining the suffixes from the longest common prefix down, each looks up its neighbours among the reversed prefixes: they
 give the longest match to both sides with one partner. Where the two sides sum up to ``length``, the match is removed.
 
-Equal contexts of an anchor (128 bits of fingerprint) are summed before they move and enter the sort once, so a passage
-or a text that a million documents share costs one suffix; whatever occurs twice is a match without any sorting.
+Equal contexts of an anchor (64 bits of fingerprint beside the anchor's 64) enter the sort once, so a passage or a text
+that a million documents share costs one suffix; whatever occurs twice is a match without any sorting. An anchor with many
+contexts, such as a line that a third of all documents have, is split: a window holds half of what it has beside the anchor
+either before or after it, so contexts meet by their anchor and the half after it, and again by the half before it.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import shingles
-from cadenza.llm.common import cut
+from cadenza.llm.common import saved
 from cadenza.llm.neardup import _batches, _groups
 
 SEED = 64
 SHALLOW = 32
 BLOCK = 1 << 20
 #: Rows of 60 bytes at most that may be broadcast.
-SMALL = 500_000
+SMALL = 100_000
+#: Contexts of an anchor from which it is split.
+HOT = 256
 ROWS_OF = "array<struct<start:int,stop:int>>"
 
 
@@ -144,8 +149,9 @@ def reaches(left: list[bytes], right: list[bytes], length: int) -> list[tuple[in
         return x
 
     joins = sorted(((shared(right[suffix[k]], right[suffix[k + 1]]), k) for k in range(n - 1)), reverse=True)
+    longest = max(map(len, left))
     for r, k in joins:
-        if r + max(map(len, left)) < length:
+        if r + longest < length:
             break
         a, b = find(k), find(k + 1)
         if len(sets[a]) < len(sets[b]):
@@ -227,46 +233,74 @@ def _anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 who = np.searchsorted(ends, p, side="right")
                 start = np.concatenate(([0], ends[:-1]))[who]
                 left, right = np.minimum(p - start, length - SEED), np.minimum(ends[who] - p, length)
-                print_ = [hashlib.md5(struct.pack("<I", x) + joined[q - x : q + y]).digest() for q, x, y in zip(p.tolist(), left.tolist(), right.tolist(), strict=True)]
-                two = np.frombuffer(b"".join(print_), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), two[:, 0], two[:, 1], ids[np.array(own)][who], (p - start).astype(np.int64), left.astype(np.int32), right.astype(np.int32))], names=["h", "f1", "f2", "doc", "at", "l", "r"])
+                prints = [hashlib.blake2b(struct.pack("<I", x) + joined[q - x : q + y], digest_size=8).digest() for q, x, y in zip(p.tolist(), left.tolist(), right.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), np.frombuffer(b"".join(prints), np.int64), ids[np.array(own)][who], (p - start).astype(np.int64), left.astype(np.int32), right.astype(np.int32))], names=["h", "f", "doc", "at", "l", "r"])
 
-    return _keyed(docs).select("doc", "text").mapInArrow(run, "h long, f1 long, f2 long, doc long, at long, l int, r int")
+    return _keyed(docs).select("doc", "text").mapInArrow(run, "h long, f long, doc long, at long, l int, r int")
+
+
+def _with_texts(docs: DataFrame, other: DataFrame, columns: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """``columns`` of ``docs`` joined to ``other`` by doc, with the text as ``packed`` (zstd): texts cross a shuffle compressed."""
+    keyed = _keyed(docs)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in _batches(batches, 512):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc"), pa.array([z.compress(t) for t in _raw(b.column("text"))], pa.binary())], names=["doc_id", "doc", "packed"])
+
+    packed = keyed.mapInArrow(squeeze, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc long, packed binary")
+    return packed.join(F.broadcast(other) if small else other.hint("merge"), "doc", how).select(*columns, "packed")
+
+
+def _unpack(column) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) for x in column.to_pylist()]
 
 
 def _reach_table(places: DataFrame, docs: DataFrame, length: int, small: bool) -> DataFrame:
-    """h, f1, f2, l, r for the contexts in ``places`` (h, f1, f2, doc, at, l, r)."""
+    """h, f, l, r for the contexts in ``places`` (h, f, hot, doc, at, l, r)."""
+    half = (length - SEED + 1) // 2
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda *x: int.from_bytes(hashlib.blake2b(b"".join(x), digest_size=8).digest(), "little", signed=True)
         for b in _batches(batches, 1024):
-            raw = _raw(b.column("text"))
-            at, l, r = (b.column(c).to_numpy() for c in ("at", "l", "r"))
-            left = pa.array([t[p - x : p][::-1] for t, p, x in zip(raw, at, l, strict=True)], pa.binary())
-            right = pa.array([t[p : p + y] for t, p, y in zip(raw, at, r, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("f1"), b.column("f2"), left, right], names=["h", "f1", "f2", "left", "right"])
-
-    found = _keyed(docs).select("doc", "text").join(F.broadcast(places) if small else places, "doc")
-    cuts = found.select("h", "f1", "f2", "at", "l", "r", "text").mapInArrow(contexts, "h long, f1 long, f2 long, left binary, right binary")
+            raw, out = _unpack(b.column("packed")), []
+            for t, h, f, hot, p, x, y in zip(raw, *(b.column(c).to_pylist() for c in ("h", "f", "hot", "at", "l", "r")), strict=True):
+                left, right = t[p - x : p][::-1], t[p : p + y]
+                if not hot:
+                    out.append((h, h, f, left, right))
+                    continue
+                if y >= SEED + half:
+                    out.append((digest(b"r", right[: SEED + half]), h, f, left, right))
+                if x >= half:
+                    out.append((digest(b"l", left[:half], right[:SEED]), h, f, left, right))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["g", "h", "f", "left", "right"])
+
+    found = _with_texts(docs, places, ["h", "f", "hot", "at", "l", "r"], small)
+    cuts = found.mapInArrow(contexts, "g long, h long, f long, left binary, right binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["h"]):
+        for t in _groups(batches, ["g"]):
             t = t.combine_chunks()
-            h = t.column("h").to_numpy()
-            f1, f2 = t.column("f1").to_numpy(), t.column("f2").to_numpy()
+            g, f = t.column("g").to_numpy(), t.column("f").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+            many = np.repeat(np.diff(edge) > 1, np.diff(edge))
+            if not many.any():
+                continue
+            t = t.filter(pa.array(many)).combine_chunks()
+            g, f = g[many], f[many]
             left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-            edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))).tolist()
+            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist()
             got: list[tuple[int, int]] = []
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                own = [k for k in range(i, j) if k == i or (f1[k], f2[k]) != (f1[k - 1], f2[k - 1])]
-                best = dict(zip(own, reaches([left[k] for k in own], [right[k] for k in own], length), strict=True)) if len(own) > 1 else {}
-                got += [best.get(k, (0, 0)) for k in range(i, j)]
+                got += reaches(left[i:j], right[i:j], length)
             ok = np.array([a + b >= length for a, b in got], bool)
-            pick = pa.array(ok)
             lr = np.array(got, np.int32).reshape(-1, 2)[ok]
-            yield from pa.Table.from_arrays([t.column(c).filter(pick) for c in ("h", "f1", "f2")] + [pa.array(lr[:, 0]), pa.array(lr[:, 1])], names=["h", "f1", "f2", "l", "r"]).to_batches()
+            yield from pa.Table.from_arrays([t.column(c).filter(pa.array(ok)) for c in ("h", "f")] + [pa.array(lr[:, 0]), pa.array(lr[:, 1])], names=["h", "f", "l", "r"]).to_batches()
 
-    rows = cuts.repartition("h").sortWithinPartitions("h", "f1", "f2")
-    return rows.mapInArrow(run, "h long, f1 long, f2 long, l int, r int").dropDuplicates(["h", "f1", "f2"])
+    rows = cuts.repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "h long, f long, l int, r int")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -278,23 +312,25 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     if length <= SEED:
         raise ValueError(f"length must be above {SEED}")
-    table = cut(_anchor_table(docs, length))
-    each = table.groupBy("h", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "l", "r")).alias("where"))
-    each = cut(each.select("h", "f1", "f2", "n", "where.*"))
-    # contexts that occur again match as a whole; such as differ within an anchor are sorted
-    many = each.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    places = cut(each.join(many, "h").select("h", "f1", "f2", "doc", "at", "l", "r"))
+    table = saved(_anchor_table(docs, length), "anchors")
+    often = table.groupBy("h").agg(F.count("*").alias("__n"), F.min("f").alias("__a"), F.max("f").alias("__z")).where("__n > 1").select("h", (F.col("__a") != F.col("__z")).alias("differ"))
+    table = saved(table.join(often, "h"), "repeated")
+    # contexts that occur again match as a whole; such as differ within an anchor are sorted, one of each
+    each = table.groupBy("h", "f").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.first("doc").alias("doc"), F.first("at").alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
+    each = saved(each, "contexts")
+    hot = each.where("differ").groupBy("h").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("h", F.lit(True).alias("hot"))
+    places = saved(each.where("differ").join(hot, "h", "left").select("h", "f", F.coalesce("hot", F.lit(False)).alias("hot"), "doc", "at", "l", "r"), "places")
     sorted_ = _reach_table(places, docs, length, places.count() <= SMALL)
-    again = each.where(f"n > 1 and l + r >= {length}").select("h", "f1", "f2", "l", "r")
-    reach = sorted_.union(again).groupBy("h", "f1", "f2").agg(F.max("l").alias("rl"), F.max("r").alias("rr"))
-    spans = table.select("h", "f1", "f2", "doc", "at").join(reach, ["h", "f1", "f2"]).select("doc", (F.col("at") - F.col("rl")).cast("int").alias("start"), (F.col("at") + F.col("rr")).cast("int").alias("stop"))
-    spans = cut(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("raw")))
+    again = each.where(f"n > 1 and l + r >= {length}").select("h", "f", "l", "r")
+    reach = sorted_.union(again).groupBy("h", "f").agg(F.max("l").alias("rl"), F.max("r").alias("rr"))
+    spans = table.select("h", "f", "doc", "at").join(reach, ["h", "f"]).select("doc", (F.col("at") - F.col("rl")).cast("int").alias("start"), (F.col("at") + F.col("rr")).cast("int").alias("stop"))
+    spans = saved(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("raw")), "spans")
     small = (spans.agg(F.sum(F.size("raw"))).first()[0] or 0) <= SMALL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches, 512):
             n, spans, kept = [], [], []
-            for t, ranges in zip(_raw(b.column("text")), b.column("raw").to_pylist(), strict=True):
+            for t, ranges in zip(_unpack(b.column("packed")), b.column("raw").to_pylist(), strict=True):
                 out: list[list[int]] = []
                 for x in ranges or ():
                     if out and x["start"] <= out[-1][1]:
@@ -307,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    all_ = _keyed(docs).join(F.broadcast(spans) if small else spans, "doc", "left").select("doc_id", "text", "raw")
+    all_ = _with_texts(docs, spans, ["doc_id", "raw"], small, "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return all_.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans {ROWS_OF}, kept binary")
 
