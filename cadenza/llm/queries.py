@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import boilerplate, neardup, pieces, secrets, suffixes, toxicity, warc
+from cadenza.llm import boilerplate, neardup, pieces, quality, secrets, suffixes, toxicity, warc
 from cadenza.llm.common import scratch, table
 
 
@@ -46,12 +46,17 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op9_minhash]
+    found = [op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op8_quality, op9_minhash]
     return {f.__name__: f for f in found}
 
 
