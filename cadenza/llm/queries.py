@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import boilerplate, neardup, pieces, quality, secrets, suffixes, toxicity, warc
+from cadenza.llm import boilerplate, decontam, neardup, pieces, quality, secrets, suffixes, toxicity, warc
 from cadenza.llm.common import scratch, table
 
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.matches(docs, table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,7 +61,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op8_quality, op9_minhash]
+    found = [op1_decontaminate, op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op8_quality, op9_minhash]
     return {f.__name__: f for f in found}
 
 
