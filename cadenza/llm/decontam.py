@@ -28,8 +28,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(low, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, wherever f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def shingles(w: Column, width: int) -> Column:
     """Hashes of all runs of ``width`` words in order; of fewer words the whole as one."""
+    return let(w, lambda w: _shingles(w, width))
+
+
+def _shingles(w: Column, width: int) -> Column:
     n = F.size(w)
     full = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
     short = F.array(F.xxhash64(F.array_join(w, " "), n))
@@ -38,13 +47,17 @@ def shingles(w: Column, width: int) -> Column:
 
 def _grams(w: Column, k: int, width: int) -> Column:
     """What shingles() gives for each window of ``k`` words, k at most ``width``."""
-    one = (lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])) if k == width else (lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " "), F.lit(k)))
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), one))
+    one = (lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])) if k == width else (lambda w, i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " "), F.lit(k)))
+    return let(w, lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: one(w, i))))
 
 
 def fingerprint(s: Column, weights: Column, default: Column) -> Column:
     """SimHash of shingles ``s``; each weighs what the map ``weights`` says, others ``default``. Each occurrence counts."""
     pairs = F.transform(s, lambda h: F.struct(h.alias("h"), F.coalesce(F.element_at(weights, h), default).alias("w")))
+    return let(pairs, _bits)
+
+
+def _bits(pairs: Column) -> Column:
     bit = lambda b: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when(F.getbit(p["h"], b) == 1, p["w"]).otherwise(-p["w"]))
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when(bit(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
 
