@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import boilerplate, decontam, neardup, pieces, quality, secrets, suffixes, toxicity, warc
+from cadenza.llm import boilerplate, decontam, neardup, pieces, quality, secrets, suffixes, toxicity, vectors, warc
 from cadenza.llm.common import scratch, table
 
 
@@ -60,8 +60,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op8_quality, op9_minhash]
+    found = [op1_decontaminate, op2_sentencepiece, op3_toxicity, op4_warc, op5_line_dedup, op6_secrets, op7_suffix_array, op8_quality, op9_minhash, op10_nn_descent]
     return {f.__name__: f for f in found}
 
 
