@@ -69,7 +69,7 @@ def build_subset(spark: SparkSession, roots: Iterable[str], out: str, n_users: i
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """metric, column, value: rows, columns, nulls by column, repeated rows, share organic, play ratios above 100. One scan and one distinct count."""
+    """metric, column_name, value: rows, columns, nulls by column, repeated rows, share organic, play ratios above 100. One scan and one distinct count."""
     aggs = [F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"nulls|{c}") for c in rows.columns]]
     if "is_organic" in rows.columns:
         aggs.append(F.avg(F.col("is_organic").cast("double")).alias("organic_share"))
@@ -78,4 +78,4 @@ def profile(rows: DataFrame) -> DataFrame:
     one = rows.agg(*aggs).join(rows.distinct().agg(F.count("*").alias("__d")))  # one row each
     pairs = [F.struct(F.lit(a.partition("|")[0]).alias("metric"), F.lit(a.partition("|")[2] or None).cast("string").alias("column"), F.col(f"`{a}`").cast("double").alias("value")) for a in one.columns if a != "__d"]
     pairs += [F.struct(F.lit("columns").alias("metric"), F.lit(None).cast("string").alias("column"), F.lit(float(len(rows.columns))).alias("value")), F.struct(F.lit("duplicate_rows").alias("metric"), F.lit(None).cast("string").alias("column"), (F.col("rows") - F.col("__d")).cast("double").alias("value"))]
-    return one.select(F.explode(F.array(*pairs)).alias("x")).select("x.metric", F.coalesce("x.column", F.lit("")).alias("column"), "x.value")
+    return one.select(F.explode(F.array(*pairs)).alias("x")).select("x.metric", F.coalesce("x.column", F.lit("")).alias("column_name"), "x.value")

@@ -484,7 +484,7 @@ def q_subset_listens(spark, d):
 
 
 @register(f"""WITH {EV}, l AS (SELECT uid, item_id, timestamp, is_organic, played_ratio_pct FROM ev)
-SELECT 'rows' AS metric, '' AS "column", CAST(count(*) AS DOUBLE) AS value FROM l UNION ALL SELECT 'columns', '', 5.0 UNION ALL SELECT 'duplicate_rows', '', CAST((SELECT count(*) FROM l) - (SELECT count(*) FROM (SELECT DISTINCT * FROM l)) AS DOUBLE)
+SELECT 'rows' AS metric, '' AS column_name, CAST(count(*) AS DOUBLE) AS value FROM l UNION ALL SELECT 'columns', '', 5.0 UNION ALL SELECT 'duplicate_rows', '', CAST((SELECT count(*) FROM l) - (SELECT count(*) FROM (SELECT DISTINCT * FROM l)) AS DOUBLE)
 UNION ALL SELECT 'organic_share', '', round(avg(is_organic), 6) FROM l UNION ALL SELECT 'ratio_above_100', '', CAST(count(*) FILTER (played_ratio_pct > 100) AS DOUBLE) FROM l
 UNION ALL SELECT 'nulls', c, CAST((SELECT count(*) FROM l WHERE (CASE c WHEN 'uid' THEN uid WHEN 'item_id' THEN item_id WHEN 'timestamp' THEN timestamp WHEN 'is_organic' THEN is_organic ELSE played_ratio_pct END) IS NULL) AS DOUBLE) FROM (VALUES ('uid'), ('item_id'), ('timestamp'), ('is_organic'), ('played_ratio_pct')) v(c)""")
 def q_data_profile(spark, d):
