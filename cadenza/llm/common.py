@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, n: int = 500) -> DataFrame:
+    """``df``, with Arrow batches to Python of at most ``n`` rows from now on: texts are long, and a batch is held on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    return df
+
+
+def tidy() -> None:
+    """Give memory that a finished task freed back to the system: Python workers live on between tasks, side by side with the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # other C libraries have no such call
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import tidy
+
 MARK = "▁"
 
 
@@ -88,11 +90,13 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value, bos, eos)
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 512):
-                b = whole.slice(at, 512)
+            for at in range(0, max(whole.num_rows, 1), 128):
+                b = whole.slice(at, 128)
                 ids = [codec.encode(t) for t in b.column(text).to_pylist()]
                 more = [pa.array(ids, pa.binary())] + ([pa.array(map(codec.decode, ids), pa.string())] if decoded else [])
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *[out, decoded][: len(more)]])
+        del codec
+        tidy()
 
     return rest.mapInArrow(run, schema)
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
+from cadenza.llm.common import tidy
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
 #: Columns read from one header each.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to"}
@@ -221,11 +223,12 @@ class WarcReader(DataSourceReader):
                     continue
                 rows.append(self.row(*got, names))
                 size += len(got[1])
-                if len(rows) >= self.batch or size > 32 << 20:
+                if len(rows) >= self.batch or size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        tidy()
 
     def row(self, head: bytes, block: bytes, names: list[str]) -> dict:
         fields = _parse(head)
@@ -262,17 +265,18 @@ class WarcWriter(DataSourceArrowWriter):
         moves, out, size = [], None, 0
         try:
             for batch in batches:
-                for i in range(batch.num_rows):
+                for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
                     if out is None or size >= self.max_bytes:
                         if out:
                             out.close()
                         name = f"{root}/part-{task.partitionId():05d}-{len(moves):04d}"
                         moves.append((f"{name}.{task.taskAttemptId()}.open", f"{name}.warc.gz"))
                         out, size = files.open_output_stream(moves[-1][0], compression=None), 0
-                    size += out.write(data := member(record(batch.slice(i, 1).to_pylist()[0]))) or len(data)
+                    size += out.write(data := member(record(row))) or len(data)
         finally:
             if out:
                 out.close()
+        tidy()
         return Written(moves)
 
     def commit(self, messages: list[Written | None]) -> None:
