@@ -5,10 +5,12 @@
    cut to runs of at most ``BLOCK`` vectors, ordered by further signs.
 3. Descent: every vector gathers its neighbours and those that have it as neighbour, and compares them with each other;
    pairs that improve a list replace its last entries. Rounds go on until few entries change.
-4. A list whose last entry still reaches the threshold is saturated: it may end before its links do. Lists of the component
-   such a vector is in are enlarged to the whole component, whose vectors meet in pairs of blocks.
-5. Audit: for a fixed number of vectors chosen by hash, all links are found by comparison with all rows; if the graph has
-   less than ``recall`` of them, descent goes on with longer lists.
+4. A list whose last entry still reaches the threshold is saturated: it may end before its links do. Blocks of such
+   components that can be linked (by centre and radius) are compared, and linked components become one. Lists of the
+   component such a vector is in are then enlarged to the whole component, whose vectors meet in pairs of blocks.
+5. Audit of what is returned: for a fixed number of vectors chosen by hash, all links are found by comparison with all rows;
+   if the enlarged lists have less than ``recall`` of them, descent goes on with lists of twice the length. Where
+   ``doublings`` of them don't suffice, all vectors meet in pairs of blocks, which is exact and costs the square of their number.
 
 Cosines are of double precision. Vectors travel as 32-bit floats, as they come.
 """
@@ -166,8 +168,10 @@ def descend(graph: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, EDGE)
 
 
-def audit(graph: DataFrame, reps: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of ``sample`` vectors, found by comparison with all rows, that the graph has."""
+def audit(links: DataFrame, comp: DataFrame, inside: DataFrame, reps: DataFrame, threshold: float, sample: int) -> float:
+    """Share of the links of ``sample`` vectors, found by comparison with all rows, that the result has: those of the lists
+    (``links``: a, b), and all between members of an enlarged component (``inside``). The lower of the share of all links and of the mean share of a vector.
+    """
     picked = reps.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # a fixed number of vectors
     if not picked:
         return 1.0
@@ -194,14 +198,31 @@ def audit(graph: DataFrame, reps: DataFrame, threshold: float, sample: int) -> f
             yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(c[keep], pa.int64())], names=["a", "b"])
 
     true = cut(reps.mapInArrow(run, "a long, b long"))
-    have = graph.where(F.col("s") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    n = pairs.count()
-    return pairs.join(have, ["a", "b"], "left_semi").count() / n if n else 1.0
-
-
-def _enlarge(inside: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """id, links (their multiplicity summed) for all vectors of the components in ``inside`` (component_id, id, copies)."""
+    have = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct().withColumn("listed", F.lit(True))
+    side = lambda x: comp.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}"))
+    whole = inside.select(F.col("component_id").alias("ca")).distinct().withColumn("whole", F.lit(True))
+    told = true.join(have, ["a", "b"], "left").join(side("a"), "a", "left").join(side("b"), "b", "left").join(whole, "ca", "left")
+    per = told.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("listed") | (F.col("whole") & (F.col("ca") == F.col("cb")))).alias("ok"))
+    r = per.agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.avg(F.col("ok") / F.col("n")).alias("mean")).first()
+    return min(r.ok / r.n, r.mean) if r.n else 1.0
+
+
+def _roots(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row of its connected component."""
+    root = np.arange(len(link))
+    while True:
+        low = np.minimum(root, np.where(link, root[None, :], len(link)).min(axis=1))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _meet(inside: DataFrame, reps: DataFrame, threshold: float, roots: bool = False) -> DataFrame:
+    """All vectors of each component in ``inside`` (component_id, id, copies) meet in pairs of blocks.
+
+    id, links (their multiplicity summed), root (with ``roots``, a vector it is connected to in this pair of blocks): a row for each vector and pair.
+    """
     sizes = inside.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = inside.join(sizes, "component_id").select("component_id", "id", "copies", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -212,7 +233,7 @@ def _enlarge(inside: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             keys = [t.column(c).to_numpy() for c in ("component_id", "p", "q")]
             ids, copies, own, p, q = (t.column(c).to_numpy() for c in ("id", "copies", "own", "p", "q"))
             edge = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0), [True])))
-            raw, out, n = t.column("v").combine_chunks(), [], []
+            raw, out, n, root = t.column("v").combine_chunks(), [], [], []
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 x = _unit(raw.slice(i, j - i))
                 link = x @ x.T >= threshold
@@ -221,13 +242,99 @@ def _enlarge(inside: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                     link &= own[i:j, None] != own[None, i:j]
                 out.append(ids[i:j])
                 n.append(link @ copies[i:j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(n).astype(np.int64))], names=["id", "links"])
+                root.append(ids[i:j][_roots(link)] if roots else ids[i:j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(root))], names=["id", "links", "root"])
 
     rows = rows.repartition("component_id", "p", "q").sortWithinPartitions("component_id", "p", "q", "id")
-    return rows.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return rows.mapInArrow(run, "id long, links long, root long")
+
+
+def _bridges(inside: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between the components in ``inside``, one for each pair of blocks that has any.
+
+    Saturated lists hold their own component only, so descent may not see these. By the triangle inequality of angles two blocks can be
+    linked only if their centres are no further apart than both radii and the threshold's angle; all such blocks are compared.
+    """
+    sizes = inside.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = inside.join(sizes, "component_id").select("component_id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "id").join(reps, "id")
+    rows = cut(rows.select(F.xxhash64("component_id", "own").alias("block"), "component_id", "id", "dim", "v"))
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["block"]):
+            block, comp, dim = (t.column(c).to_numpy() for c in ("block", "component_id", "dim"))
+            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            raw, mid, wide = t.column("v").combine_chunks(), [], []
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                x = _unit(raw.slice(i, j - i))
+                m = x.mean(axis=0)
+                m = m / np.linalg.norm(m) if np.linalg.norm(m) > 1e-9 else x[0]
+                mid.append(m.tobytes())
+                wide.append(float(np.arccos(np.clip(x @ m, -1, 1)).max()))
+            at = edge[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(comp[at]), pa.array(dim[at]), pa.array(wide), pa.array(mid, pa.binary())], names=["block", "component_id", "dim", "radius", "v"])
+
+    mids = cut(rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(centre, "block long, component_id long, dim int, radius double, v binary"))
+    parts = max(1, -(-mids.count() // BLOCK))
+    own = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
+    dealt = mids.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["dim", "p", "q"]):
+            keys = [t.column(c).to_numpy() for c in ("dim", "p", "q")]
+            block, comp, radius = (t.column(c).to_numpy() for c in ("block", "component_id", "radius"))
+            edge = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0), [True])))
+            raw, one, two = t.column("v").combine_chunks(), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                x = _unit(raw.slice(i, j - i))
+                r = radius[i:j]
+                can = np.arccos(np.clip(x @ x.T, -1, 1)) <= r[:, None] + r[None, :] + angle + 1e-6
+                can &= (comp[i:j, None] != comp[None, i:j]) & (block[i:j, None] < block[None, i:j])
+                a, b = np.nonzero(can)
+                one.append(block[i:j][a])
+                two.append(block[i:j][b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["x", "y"])
+
+    pairs = cut(dealt.repartition("dim", "p", "q").sortWithinPartitions("dim", "p", "q", "block").mapInArrow(near, "x long, y long").distinct())
+    sides = pairs.select("x", "y", F.col("x").alias("block")).union(pairs.select("x", "y", F.col("y").alias("block")))
+    met = sides.join(rows.select("block", "id", "v"), "block")
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 12, draws: int = 8, recall: float = 0.99, rounds: int = 6, sample: int = 400) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["x", "y"]):
+            p, q, block, ids = (t.column(c).to_numpy() for c in ("x", "y", "block", "id"))
+            edge = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True])))
+            raw, one, two = t.column("v").combine_chunks(), [], []
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                x, left = _unit(raw.slice(i, j - i)), block[i:j] == p[i]
+                s = x[left] @ x[~left].T
+                at = np.unravel_index(s.argmax(), s.shape)
+                if s[at] >= threshold:
+                    one.append(ids[i:j][left][at[0]])
+                    two.append(ids[i:j][~left][at[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+    return met.repartition("x", "y").sortWithinPartitions("x", "y", "block", "id").mapInArrow(run, "a long, b long")
+
+
+def _settled(graph: DataFrame, reps: DataFrame, by_v: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the lists say: links (a, b), components (id, component_id), and the members of saturated components (component_id, id, copies)."""
+    near = graph.where(F.col("s") >= threshold)
+    full = near.where(F.col("last") >= threshold).select(F.col("a").alias("id")).distinct()
+    links = near.select("a", "b")
+    bridged = False
+    while True:
+        comp = cut(components(links)).withColumnRenamed("node", "id")
+        whole = full.join(comp, "id").select("component_id").distinct()
+        inside = saved(comp.join(whole, "component_id").join(by_v.select("id", "copies"), "id").select("component_id", "id", "copies"), "saturated")
+        if bridged or inside.select("component_id").distinct().count() < 2:
+            return links, comp, inside
+        more = cut(_bridges(inside, reps, threshold))
+        if more.isEmpty():
+            return links, comp, inside
+        links, bridged = cut(links.union(more)), True  # all links between the components are known
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 12, draws: int = 8, recall: float = 0.99, rounds: int = 6, sample: int = 400, doublings: int = 2) -> DataFrame:
     """A row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Null, zero and non-finite vectors, those with null components and rows without vec_id link with nothing and are kept; vectors of
@@ -243,26 +350,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 12, draws
     reps = by_v.select("id", "dim", "v")
     n = reps.count()
 
-    graph = cut(shorten(first_graph(reps, n, k, draws), k))
-    width = k
-    for i in range(rounds):
-        found = cut(descend(graph, reps, width).join(graph, ["a", "b"], "left_anti"))
-        better = found.count()
-        if better:
-            graph = cut(shorten(graph.select("a", "b", "s").union(found), width))
-        if better <= 0.02 * n * width and i:
-            if audit(graph, reps, threshold, sample) >= recall:
+    graph, width = cut(shorten(first_graph(reps, n, k, draws), k)), k
+    for again in range(doublings + 1):
+        for _ in range(rounds):
+            found = cut(descend(graph, reps, width).join(graph, ["a", "b"], "left_anti"))
+            better = found.count()
+            if better:
+                graph = cut(shorten(graph.select("a", "b", "s").union(found), width))
+            if better <= 0.02 * n * width:
                 break
+        links, comp, inside = _settled(graph, reps, by_v, threshold)
+        good = audit(links, comp, inside, reps, threshold, sample) >= recall
+        if good:
+            break
+        if again < doublings:
             width *= 2
-
-    links = graph.where(F.col("s") >= threshold)
-    comp = cut(components(links.select("a", "b"))).withColumnRenamed("node", "id")
-    full = links.where(F.col("last") >= threshold).select(F.col("a").alias("id")).distinct().join(comp, "id").select("component_id").distinct()
-    inside = saved(comp.join(full, "component_id").join(by_v.select("id", "copies"), "id").select("component_id", "id", "copies"), "saturated")
-    enlarged = _enlarge(inside, reps, threshold)
-    pairs = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
-    plain = pairs.join(by_v.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("links"))
-    counted = plain.join(inside.select("id"), "id", "left_anti").union(enlarged)
+            graph = cut(shorten(graph.select("a", "b", "s"), width))  # the last entry at the new width
+
+    if good:
+        enlarged = _meet(inside, reps, threshold).groupBy("id").agg(F.sum("links").alias("links"))
+        pairs = links.union(links.select(F.col("b"), F.col("a"))).distinct()
+        plain = pairs.join(by_v.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("links"))
+        counted = plain.join(inside.select("id"), "id", "left_anti").union(enlarged)
+    else:
+        met = saved(_meet(by_v.select(F.col("dim").cast("long").alias("component_id"), "id", "copies"), reps, threshold, roots=True), "met")
+        comp = cut(components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "id")
+        counted = met.groupBy("id").agg(F.sum("links").alias("links"))
     told = by_v.select("id", "low", "copies").join(comp, "id", "left").join(counted, "id", "left").select("id", "low", F.col("component_id").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     lowest = told.where("comp is not null").groupBy("comp").agg(F.min("low").alias("lowest"))
     told = saved(told.join(lowest, "comp", "left").select("id", "n_links", F.coalesce("lowest", "low").alias("component_id")), "told")

@@ -492,6 +492,35 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_whole(spark):
+    """Links that descent didn't find: the audit sees what is returned, and nothing below its target is returned."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 16))
+    x[1::2] = x[::2] + r.normal(size=(200, 16)) * 0.08
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    poor = vectors.near_vectors(df, k=1, draws=1, rounds=1, doublings=0).collect()
+    assert {v.vec_id: v.n_links for v in poor} == dict(enumerate(links.tolist()))
+    assert all(v.component_id == v.vec_id // 2 * 2 for v in poor if v.n_links)
+
+
+def test_bridges(spark):
+    """Two dense groups with one vector of the first between them: the link is found, the own ones are not told."""
+    r = np.random.default_rng(5)
+    x = np.zeros((81, 16))
+    x[:, 0] = 1
+    x[40:80, 1] = 0.8
+    x[:80] += r.normal(size=(80, 16)) * 0.01
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[80] = u[39] + u[40]
+    inside = spark.createDataFrame([(i, int(40 <= i < 80), 1) for i in range(81)], "id long, component_id long, copies long")
+    reps = spark.createDataFrame([(i, 16, x[i].tobytes()) for i in range(81)], "id long, dim int, v binary")
+    got = vectors._bridges(inside, reps, 0.95).collect()
+    assert len(got) == 1 and max(got[0]) == 80 and 40 <= min(got[0]) < 80
+    assert vectors._bridges(inside.where("id < 80"), reps, 0.95).count() == 0
+
+
 # the pipeline
 
 
