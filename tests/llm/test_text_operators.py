@@ -190,6 +190,25 @@ def test_toxicity(spark):
     assert toxicity.fit(df, lab.where("false")).terms == {}
 
 
+def test_misspelt(spark):
+    """Two edits in a long term and one in a stem, with any tail, count: before, neither did."""
+    r = random.Random(10)
+    tails = ["a", "el", "ous", "ing", "ed", "ity", "um", "ish", "on", "er"]
+    texts = [" ".join(words(30, i, 3000) + ([r.choice(["zorblatting", "flonk" + r.choice(tails)]) for _ in range(3)] if i % 4 == 0 else [])) for i in range(600)]
+    model = toxicity.fit(docs_frame(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int"))
+    assert any(t.endswith("*") and "flonk".startswith(t[:-1]) for t in model.terms) and any(t.removesuffix("*") in "zorblatting" for t in model.terms)
+    model = toxicity.Model({"zorblatting": 3.0, "flonk*": 3.0}, toxicity.Model().weights)
+    clean, long, stem, other = toxicity.Scorer(model).scores(["you there now", "you zorbblattinng now", "you flomkish now", "you flimkish zrbltinggg now"])
+    assert long > clean and stem > clean and other == clean
+    auto = toxicity.Automaton(["flonk*", "zorblatting", "quimpetry*"])
+    for w in ["flonk", "flomkish", "flnkerous", "fflonking", "zorblattin", "zrblatng", "quimpetrify", "qimpetriest", "quimpqetyy", "qixpetrelse", "zorb", "flo"]:
+        code = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+        far = auto.find(code, np.array([0]), np.array([len(w)]))[2]
+        near = [(min(levenshtein(w[:k], x) for k in range(len(w) + 1)), n) for x, n in (("flonk", 1), ("quimpetry", 2))] + [(levenshtein(w, "zorblatting"), 2)]
+        want = min((d for d, n in near if d <= n), default=None)
+        assert (int(far[0]) if len(far) else None) == want, w
+
+
 # 4
 
 
