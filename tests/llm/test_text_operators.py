@@ -305,6 +305,19 @@ def test_battery(spark):
     assert len(found & set(range(200, 400))) > 180 and len(found - set(range(200, 400))) <= 10
 
 
+def test_random_keys_without_long_words(spark):
+    """Random keys are found where no run of 20 letters gives a decoy, and alike with some; prose alone gives none."""
+    r = random.Random(12)
+    keys = ["".join(r.choices(secrets.BASE64, k=40)) for _ in range(100)]
+    short = lambda n: " ".join(r.choices(["the", "house", "and", "station", "older", "window", "garden"], k=n))
+    texts = [f"{short(20)} {k} {short(5)}" for k in keys] + [short(40) for _ in range(50)]
+    found = lambda t: {x.doc_id for x in secrets.digests(docs_frame(spark, t)).where("spans like '%random%'").select("doc_id").collect()}
+    got = found(texts)
+    assert len(got & set(range(100))) > 90 and not got - set(range(100))
+    assert found(texts + ["unquestionablyinternationalisation"]) == got
+    assert len(found([f"key {k}" for k in keys])) > 90
+
+
 # 7
 
 
