@@ -3,16 +3,19 @@
 Reading: a file is a partition. Predicates on header columns (equality, IN, prefix) are pushed into the reader, which
 parses a record's headers first; a record they refuse is skipped without decoding its block. Writing stores each record as
 a gzip member with the `sl` skip-length field, so a reader can jump over a refused member without inflating it; archives
-without the field, and plain .warc files, are read as well. Payloads are decoded only if the read schema has ``payload``.
+without the field, and plain .warc files, are read as well. Payloads are decoded only if the read schema has ``payload``: without it,
+inflating ends with the HTTP head that tells the payload's length.
 
 Writers fill a file under a name of the attempt and the commit renames it, so a lost executor or a repeated task leaves no
-second copy. Paths are opened by pyarrow's file systems (file:, hdfs:, s3:, gs:), never through a local temporary folder.
+second copy. Names hold a number of the job, so a folder takes any number of appends; a commit that meets a file of its name, or
+fails halfway, takes back what it has moved. Paths are opened by pyarrow's file systems (file:, hdfs:, s3:, gs:), never through a local temporary folder.
 """
 
 from __future__ import annotations
 
 import base64
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from cadenza.llm.common import tidy
+from cadenza.llm.common import fits, helper, saved, tidy
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
 #: Columns read from one header each.
@@ -99,8 +102,11 @@ class _Input:
             self.at += n
 
 
-def _member(src: _Input, wanted) -> tuple[bytes, bytes] | None | bool:
-    """Next record of a gzip file as (WARC head, block), None if ``wanted(head)`` refuses it, False at the end."""
+def _member(src: _Input, wanted, whole: bool = True) -> tuple[bytes, bytes] | None | bool:
+    """Next record of a gzip file as (WARC head, block), None if ``wanted(head)`` refuses it, False at the end.
+
+    Unless ``whole``, the block may end after its HTTP head; a member that tells its length is then left there.
+    """
     head = src.need(10)
     if len(head) < 10:
         return False
@@ -129,7 +135,7 @@ def _member(src: _Input, wanted) -> tuple[bytes, bytes] | None | bool:
         chunk = src.need(1 << 16)
         if not chunk:
             raise ValueError("a gzip member is cut off")
-        got = z.decompress(chunk, 0 if head else 8192)
+        got = z.decompress(chunk, 0 if head and (whole or refused) else 8192)
         used = len(chunk) - len(z.unused_data if z.eof else z.unconsumed_tail)
         src.skip(used)
         at += used
@@ -141,13 +147,16 @@ def _member(src: _Input, wanted) -> tuple[bytes, bytes] | None | bool:
             if refused and total:
                 src.skip(total - at)
                 return None
+        if head and not refused and not whole and total and (end := out.find(BREAK)) >= 0:
+            src.skip(total - at)
+            return head, bytes(out[: end + 4])
         if refused:
             out.clear()
     src.skip(8)
     return None if refused else (head, bytes(out[:-4]) if out.endswith(BREAK) else bytes(out))
 
 
-def _plain(src: _Input, wanted) -> tuple[bytes, bytes] | None | bool:
+def _plain(src: _Input, wanted, whole: bool = True) -> tuple[bytes, bytes] | None | bool:
     """The same of a file that isn't compressed."""
     n = 8192
     while (end := (got := src.need(n)).find(BREAK)) < 0:
@@ -217,8 +226,8 @@ class WarcReader(DataSourceReader):
         files, path = _fs(part.path)
         with files.open_input_file(path) as f:
             src = _Input(f)
-            step = _member if path.endswith(".gz") else _plain
-            while (got := step(src, self.wanted)) is not False:
+            step, whole = _member if path.endswith(".gz") else _plain, "payload" in names
+            while (got := step(src, self.wanted, whole)) is not False:
                 if got is None:
                     continue
                 rows.append(self.row(*got, names))
@@ -239,7 +248,8 @@ class WarcReader(DataSourceReader):
             out["payload_digest"] = to_hex(fields.get("warc-payload-digest"))
         if "payload_length" in names:
             told = _parse(http).get("content-length") if is_http else None
-            out["payload_length"] = int(told) if told else len(payload if is_http else block)
+            size = int(fields.get("content-length") or len(block))
+            out["payload_length"] = int(told) if told else size - len(http) - len(BREAK) if is_http else size
         if "headers" in names:
             out["headers"] = list(fields.items())
         if "payload" in names:
@@ -254,7 +264,7 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, max_bytes: int):
-        self.path, self.max_bytes = path, max_bytes
+        self.path, self.max_bytes, self.job = path, max_bytes, uuid.uuid4().hex[:16]  # made on the driver, once for a job
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -269,7 +279,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or size >= self.max_bytes:
                         if out:
                             out.close()
-                        name = f"{root}/part-{task.partitionId():05d}-{len(moves):04d}"
+                        name = f"{root}/part-{self.job}-{task.partitionId():05d}-{len(moves):04d}"
                         moves.append((f"{name}.{task.taskAttemptId()}.open", f"{name}.warc.gz"))
                         out, size = files.open_output_stream(moves[-1][0], compression=None), 0
                     size += out.write(data := member(record(row))) or len(data)
@@ -280,10 +290,21 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(moves)
 
     def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
         files, _ = _fs(self.path)
-        for m in messages:
-            for old, new in m.moves if m else ():
+        moves = [x for m in messages if m for x in m.moves]
+        done: list[str] = []
+        try:
+            for old, new in moves:
+                if files.get_file_info(new).type != fs.FileType.NotFound:
+                    raise FileExistsError(new)
                 files.move(old, new)
+                done.append(new)
+        except BaseException:
+            for name in [*done, *(old for old, _ in moves[len(done) :])]:
+                files.delete_file(name)
+            raise
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = _fs(self.path)
@@ -319,13 +340,27 @@ def mark_revisits(records: DataFrame, key: str = "key", least: int = 1000) -> Da
 
     Of records with equal payloads of ``least`` bytes and more, the one with the largest key is the response and the
     others revisit it; smaller payloads are responses. Null payloads count as empty. Rows that share the largest key
-    (repeated rows) are all responses; rows without a key revisit the largest key, and are responses if none has one.
-    Only digest and key are summed for the search; an unshared payload has no partner in the join.
+    (repeated rows) are all responses; rows without a key revisit the largest key, and are responses if none has one. An empty
+    table gives an empty result; columns of the new names are replaced, all others stay.
+
+    Digests are counted first; only such as occur again come back to the payloads. They are broadcast while they have at most
+    common.SMALL_BYTES, so no payload is shuffled; beyond that they are joined by a shuffle whose hot digests adaptive execution splits.
     """
-    r = records.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("payload_digest", F.sha1("payload")).withColumn("__n", F.octet_length("payload"))
-    first = r.where(F.col("__n") >= least).groupBy("payload_digest", "__n").agg(F.max("key").alias("__key"), F.max_by("record_id", "key").alias("__first"), F.count("*").alias("__c")).where("__c > 1").drop("__c")
-    other = F.col("__key").isNotNull() & ~F.col(key).eqNullSafe(F.col("__key"))
-    return r.join(first, ["payload_digest", "__n"], "left").withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("__first"))).drop("__n", "__key", "__first")
+    new = ("payload_digest", "record_type", "refers_to")
+    rest = records.drop(*new)
+    n = F.octet_length("payload")
+    digest = F.when(n >= least, F.sha1("payload"))
+    seen = rest.where(n >= least).select(digest.alias("d"), F.col(key).alias("k"), F.col("record_id").alias("r"))
+    first = seen.groupBy("d").agg(F.max("k").alias("top"), F.max_by("r", "k").alias("first"), F.count("*").alias("c")).where("c > 1 and top is not null")
+    first = saved(first.select("d", "top", "first"), "digests")
+    small = fits(first, F.length("d") + F.coalesce(F.length("first"), F.lit(0)) + 64)
+    row, own = helper(rest, "row"), rest.select(F.struct("*").alias("row"), digest.alias("d"))
+    out = own.join(F.broadcast(first) if small else first, "d", "left")
+    other = F.col("top").isNotNull() & ~F.col(f"row.`{key}`").eqNullSafe(F.col("top"))
+    out = out.select(F.col("row").alias(row), F.when(other, "revisit").otherwise("response").alias("t"), F.when(other, F.col("first")).alias("f"))
+    cells = [F.col(f"`{row}`.`{c}`").alias(c) for c in rest.columns if c != "payload"]
+    full = F.coalesce(F.col(f"`{row}`.payload"), F.lit(b""))
+    return out.select(*cells, full.alias("payload"), F.sha1(full).alias("payload_digest"), F.col("t").alias("record_type"), F.col("f").alias("refers_to"))
 
 
 def write(records: DataFrame, path: str) -> None:
