@@ -1,176 +1,494 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model of the words of trusted text.
 
-The n-grams are of symbols: letters folded to a-z, space, line end, digit and a few classes of other characters, 32 in all.
-So whatever the corpus, there are at most 32**4 = 1,048,576 four-grams, and the model's table has a proven bound (8 MB).
-All trusted text is counted: each task sums its texts' four-grams, the sums meet by n-gram, and the lower orders, their
-continuation counts, discounts and back-off weights follow from joins of these counts. Scoring reads each text once.
+A text is the ring of its words and one mark for its two ends, so that every word of it stands once before and once behind
+another. With c the count of a bigram, D its discount, t the number of different words before w and cut(v) the discounts of all
+bigrams that begin with v,
+
+    p(w | v) = (c - D) / c(v) + cut(v) / c(v) * p(w),    p(w) = (t - D') / T + cut' / T / V
+
+No discount is below FLOOR, so no word has probability 0. A text's log probability is a sum over its different words and bigrams:
+log2(cut(w) / c(w) * p(w)) for each word and log2(1 + (c - D) / (cut(v) * p(w))) for each bigram that trusted text has as well. Counts, and
+these values, lie in shards by a hash of the n-gram. Each task sends the distinct n-grams of some millions of words, with the numbers of the
+texts that have them, to their shards; there they are joined with the values, and sums for each text come back. This
+goes in rounds over the shards, which bounds what is on disk at a time. All rows that move are packed arrays.
+
+Cross-fitting: texts are dealt to two folds by a hash that copies share. Trusted texts of a fold make the model for the texts of the other, so
+no text is scored by a model that has seen it, and quantiles of trusted texts' perplexities are those of unseen text.
 
 A text is kept if its perplexity is at most the given quantile of its language's trusted texts times a margin.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import hashlib
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import saved
-from cadenza.llm.neardup import _batches
-
-ORDER, SYMBOLS = 4, 32
-#: Trusted ids (8 bytes each) that may be broadcast to the texts.
-SMALL = 2_000_000
-SPACE, BREAK, DIGIT, STOP, OTHER, UPPER = 0, 27, 28, 29, 30, 31
-_symbol: list[np.ndarray] = []
-
-
-def symbols() -> np.ndarray:
-    """Symbol of each code point: 0 white space, 1-26 letters by their base letter, then classes."""
-    if not _symbol:
-        out = np.full(0x110000, OTHER, np.uint8)
-        for i in range(0x110000):
-            c = chr(i)
-            if c.isalpha():
-                base = unicodedata.normalize("NFD", c)[0] if i < 0x3000 else c
-                low = base.lower()
-                # other scripts spread over the letters by code point, so that their order still tells
-                out[i] = ord(low) - 96 if "a" <= low <= "z" else 1 + i % 26
-            elif c == "\n":
-                out[i] = BREAK
-            elif c.isspace():
-                out[i] = SPACE
-            elif c.isdigit():
-                out[i] = DIGIT
-            elif c in ".,;:!?'\"()-":
-                out[i] = STOP
-        out[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-        _symbol.append(out)
-    return _symbol[0]
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(four-grams, text number of each) of the texts, each begun by three line ends and closed by one. Upper-case runs have a symbol in front of each letter."""
-    parts, who = [], []
-    table = symbols()
-    for i, t in enumerate(texts):
-        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = table[code]
-        if t and not t.islower():
-            up = np.fromiter((c.isupper() for c in t), bool, len(t)) if not t.isascii() else (code >= 65) & (code <= 90)
-            again = up.copy()
-            again[1:] &= up[:-1]  # a capital after a capital
-            again[0] = False
-            if again.any():
-                s = np.insert(s, np.flatnonzero(again), UPPER)
-        s = np.concatenate(([BREAK] * 3, s, [BREAK])).astype(np.int64)
-        parts.append((s[:-3] << 15) | (s[1:-2] << 10) | (s[2:-1] << 5) | s[3:])
-        who.append(len(parts[-1]))
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), who)
-
-
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """g, n: four-grams of all texts and their counts. A task sums its own before they are shuffled."""
+from cadenza.llm import shingles
+from cadenza.llm.common import discard, fits, helper, release, saved
+from cadenza.llm.neardup import _batches, _groups
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+FOLDS, FLOOR = 2, 0.1
+#: Words a task gathers before it sends them, bytes of text a shard stands for, texts numbered together.
+GATHER, SHARD, MANY = 4 << 20, 64 << 20, 1 << 16
+ENDS = np.uint64(0x5EED5EED5E)
+_K = np.uint64(0x9E3779B97F4A7C15)
+CELL = "key long, kind int, owner long, data binary"
+
+
+def word_ids(hashes: np.ndarray) -> np.ndarray:
+    """The ring of a text: its ends, then its words (40 bits)."""
+    return np.concatenate(([ENDS], hashes >> np.uint64(24)))
+
+
+def gram_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """48 bits for each bigram."""
+    return shingles.mix(v * _K + w) >> np.uint64(16)
+
+
+def unigram_ids(w: np.ndarray) -> np.ndarray:
+    return shingles.mix((w + np.uint64(1)) * _K) >> np.uint64(16)
+
+
+def fold_of(hashes: np.ndarray) -> int:
+    """By the smallest hash over three words, which copies and most near copies share."""
+    if not len(hashes):
+        return 0
+    n = min(3, len(hashes))
+    s = sum(hashes[j : len(hashes) - n + 1 + j] * shingles._TURN[j] for j in range(n))
+    return int(shingles.mix(s).min() & np.uint64(1))
+
+
+def _cuts(ids: np.ndarray, shards: int) -> np.ndarray:
+    """Places in sorted ``ids`` where the shards 0, 1, ... begin, and the end."""
+    own = ((ids >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)
+    return np.searchsorted(own, np.arange(shards + 1, dtype=np.uint64))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned integers (or float32) as compressed planes of bytes."""
+    parts = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a.view(np.uint32) if a.dtype == np.float32 else a).astype(np.uint64)
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        parts += [struct.pack("<IB", len(a), width), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 1, []
+    for _ in range(raw[0]):
+        n, width = struct.unpack_from("<IB", raw, at)
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(full.reshape(-1).view(np.uint64))
+        at += 5 + n * width
+    return out
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array; np.cumsum takes them back."""
+    return np.diff(a, prepend=np.uint64(0))
+
+
+def floats(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint32).view(np.float32)
+
+
+def _cells(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    key, kind, owner, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(owner, pa.int64()), pa.array(data, pa.binary())], names=["key", "kind", "owner", "data"])
+
+
+def _each(batches: Iterator[pa.RecordBatch], column: str = "key") -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one key at a time."""
+    for t in _groups(batches, [column]):
+        key = t.column(column).to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            yield int(key[i]), t.slice(i, j - i)
+
+
+def _met(df: DataFrame, run, schema: str, by: str = "key") -> DataFrame:
+    """``run`` over rows that come by ``by`` and kind."""
+    return df.repartition(by).sortWithinPartitions(by, "kind").mapInArrow(run, schema)
+
+
+def _summed(ids: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct ids in order, and the counts of equal ones summed."""
+    if not len(ids):
+        return (ids, *counts)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return (ids[first], *(np.add.reduceat(c[order], first) for c in counts))
+
+
+def _counted(trusted: DataFrame, shards: int) -> DataFrame:
+    """key (fold * shards + shard), data: the bigrams (v, w, count) of all trusted texts, one row a key, and how many have the counts 1 to 4."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(FOLDS)]
+
+        def rows(fold: int) -> list:
+            ring, out = np.concatenate(held[fold]), []
+            held[fold].clear()
+            v, w = ring, np.concatenate((ring[1:], [ENDS]))
+            g = gram_ids(v, w)
+            order = np.argsort(g, kind="stable")
+            g, v, w = g[order], v[order], w[order]
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            n = np.diff(np.append(first, len(g))).astype(np.uint64)
+            g, v, w = g[first], v[first], w[first]
+            edge = _cuts(g, shards).tolist()
+            for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if j > i:
+                    o = np.lexsort((w[i:j], v[i:j]))
+                    out.append((fold * shards + s, 0, 0, pack(steps(v[i:j][o]), w[i:j][o], n[i:j][o])))
+            return out
+
+        size = [0] * FOLDS
         for b in _batches(batches, 256):
-            g, _ = grams([t for t in b.column(text).to_pylist() if t is not None])
-            total += np.bincount(g, minlength=len(total))
-        g = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(total[g])], names=["g", "n"])
+            for h in shingles.word_hashes(b.column("text").to_pylist()):
+                f = fold_of(h)
+                held[f].append(word_ids(h))
+                size[f] += len(h) + 1
+                if size[f] >= GATHER:
+                    size[f] = 0
+                    yield _cells(rows(f))
+        for f in range(FOLDS):
+            if held[f]:
+                yield _cells(rows(f))
 
-    return docs.select(text).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _each(batches):
+            parts = [unpack(x) for x in t.column("data").to_pylist()]
+            v, w, n = (np.concatenate(x) for x in zip(*((np.cumsum(v), w, n) for v, w, n in parts), strict=True))
+            order = np.lexsort((w, v))
+            v, w, n = v[order], w[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+            v, w, n = v[first], w[first], np.add.reduceat(n, first)
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(steps(v), w, n)], pa.binary()), *(pa.array([int((n == k).sum())]) for k in (1, 2, 3, 4))], names=["key", "data", "n1", "n2", "n3", "n4"])
 
+    return _met(trusted.select("text").mapInArrow(gather, CELL), merge, "key long, data binary, n1 long, n2 long, n3 long, n4 long")
 
-def _discounts(c: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2, 3 and more, from how many n-grams have the counts 1 to 4."""
-    n = c.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    y = n.n1 / (n.n1 + 2 * n.n2) if n.n1 + n.n2 else 0.0
-    ratio = lambda a, b: a / b if b else 0.0
-    raw = [1 - 2 * y * ratio(n.n2, n.n1), 2 - 3 * y * ratio(n.n3, n.n2), 3 - 4 * y * ratio(n.n4, n.n3)]
-    return [min(max(d, 0.0), k) if n.n1 else 0.5 * k for k, d in zip((1, 2, 3), raw, strict=True)]
 
+def _words(counted: DataFrame, shards: int) -> DataFrame:
+    """key, data: of the words of a shard their count, bigrams of count 1, 2 and more that they begin, and words before them; sums for the discounts."""
 
-def train(counts: DataFrame) -> DataFrame:
-    """g, p: interpolated modified Kneser-Ney probabilities of the four-grams, with those never seen in rows of lower orders.
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches, 1):
+            for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
+                v, w, n = unpack(data)
+                v, one = np.cumsum(v), np.ones(len(w), np.uint64)
+                zero = np.zeros(len(w), np.uint64)
+                is_ = lambda c: c.astype(np.uint64)
+                word, *counts = _summed(np.concatenate((v, w)), *(np.concatenate(x) for x in ((n, zero), (is_(n == 1), zero), (is_(n == 2), zero), (is_(n > 2), zero), (zero, one))))
+                ids = unigram_ids(word)
+                order = np.argsort(ids, kind="stable")
+                edge, fold, out = _cuts(ids[order], shards).tolist(), key // shards, []
+                for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    if j > i:
+                        o = np.sort(order[i:j])
+                        out.append((fold * shards + s, 0, key, pack(steps(word[o]), *(c[o] for c in counts))))
+                yield _cells(out)
 
-    Columns: order (4 down to 1), g (the n-gram), p, and b: the weight its own context gives to the next lower order.
-    """
-    by = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before
-        low = SYMBOLS**k
-        by[k] = by[k + 1].groupBy((F.col("g") % low).alias("g")).agg(F.count("*").alias("n"))
-    out, lower = None, None
-    for k in range(1, ORDER + 1):
-        c = by[k]
-        d1, d2, d3 = _discounts(c)
-        d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        c = c.withColumn("h", F.shiftright("g", 5)).withColumn("d", d)
-        sums = c.groupBy("h").agg(F.sum("n").alias("all"), F.sum("d").alias("cut"))
-        c = c.join(sums, "h").select("g", "h", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), (F.col("cut") / F.col("all")).alias("b"))
-        if lower is None:
-            c = c.withColumn("p", F.col("p") + F.col("b") / SYMBOLS)
-        else:
-            q = lower.select(F.col("g").alias("__g"), F.col("p").alias("__p"))
-            c = c.join(q, F.col("g") % SYMBOLS ** (k - 1) == F.col("__g"), "left").withColumn("p", F.col("p") + F.col("b") * F.coalesce("__p", F.lit(0.0)))
-        lower = saved(c.select(F.lit(k).alias("order"), "g", "h", "p", "b"), "lm")
-        out = lower if out is None else out.union(lower)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _each(batches):
+            parts = [unpack(x) for x in t.column("data").to_pylist()]
+            word, *counts = _summed(*map(np.concatenate, zip(*((np.cumsum(x[0]), *x[1:]) for x in parts), strict=True)))
+            before = counts[-1]
+            sums = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum()), len(word), int(before.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(steps(word), *counts)], pa.binary()), *(pa.array([x]) for x in sums)], names=["key", "data", "n1", "n2", "n3", "n4", "more", "types", "total"])
+
+    return _met(counted.select("key", "data").mapInArrow(part, CELL), merge, "key long, data binary, n1 long, n2 long, n3 long, n4 long, more long, types long, total long")
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts 1, 2, 3 and more, from how many n-grams have the counts 1 to 4; none below FLOOR."""
+    if not n1:
+        return 0.5, 1.0, 1.5
+    y, ratio = n1 / (n1 + 2 * n2), lambda a, b: a / b if b else 0.0
+    raw = (1 - 2 * y * ratio(n2, n1), 2 - 3 * y * ratio(n3, n2), 3 - 4 * y * ratio(n4, n3))
+    return tuple(min(max(d, FLOOR), float(k)) for k, d in zip((1, 2, 3), raw, strict=True))
+
+
+def _taken(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.choose(np.minimum(n, 3).astype(np.int64), (0.0, *d))
+
+
+@dataclass(frozen=True)
+class Sums:
+    """What one fold's model needs beside its shards."""
+
+    pair: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    word: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    total: int = 0  # different bigrams
+    rest: float = 1.0  # probability of any one unseen word
+
+    def cut(self, one: np.ndarray, two: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return one * self.pair[0] + two * self.pair[1] + more * self.pair[2]
+
+    def p(self, before: np.ndarray) -> np.ndarray:
+        return (before - _taken(before, self.word)) / max(self.total, 1) + self.rest
+
+
+def _sums(counted: DataFrame, words: DataFrame, shards: int) -> list[Sums]:
+    """A few numbers for each fold reach the driver."""
+    fold = (F.col("key") / shards).cast("int")
+    add = lambda df, names: {r.f: r for r in df.groupBy(fold.alias("f")).agg(*[F.sum(c).alias(c) for c in names]).collect()}
+    pairs, singles, out = add(counted, ["n1", "n2", "n3", "n4"]), add(words, ["n1", "n2", "n3", "n4", "more", "types", "total"]), []
+    for f in range(FOLDS):
+        if f not in pairs:
+            out.append(Sums())
+            continue
+        a, b = pairs[f], singles[f]
+        d = discounts(b.n1, b.n2, b.n3, b.n4)
+        left = b.n1 * d[0] + b.n2 * d[1] + b.more * d[2]
+        out.append(Sums(discounts(a.n1, a.n2, a.n3, a.n4), d, b.total, left / b.total / (b.types + 1)))
     return out
 
 
-def table(model: DataFrame) -> np.ndarray:
-    """Dense -log2 p for all 32**4 four-grams (float32, 4 MB), from a model of at most 1.1 million rows."""
-    m = model.select("order", "g", "h", "p", "b").toPandas()
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        own = m[m["order"] == k]
-        back = np.ones(SYMBOLS ** (k - 1))  # contexts never seen leave all to the lower order
-        back[own["h"].to_numpy()] = own["b"].to_numpy()
-        lower = np.full(SYMBOLS, 1 / SYMBOLS) if k == 1 else p
-        p = (back[:, None] * (lower.reshape(1, -1) if k == 1 else np.tile(lower, SYMBOLS).reshape(SYMBOLS ** (k - 1), SYMBOLS))).reshape(-1)
-        p[own["g"].to_numpy()] = own["p"].to_numpy()
-    return (-np.log2(p)).astype(np.float32)
+def _values(counted: DataFrame, words: DataFrame, sums: list[Sums], shards: int) -> DataFrame:
+    """key, kind, owner, data: ids and values (float32) of the n-grams of each shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches, 1):
+            for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
+                v, w, _ = unpack(data)
+                word = np.unique(np.concatenate((np.cumsum(v), w)))
+                ids = unigram_ids(word)
+                order = np.argsort(ids, kind="stable")
+                edge = _cuts(ids[order], shards).tolist()
+                yield _cells([(key // shards * shards + s, 1, key, pack(steps(np.sort(word[order[i:j]])))) for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _each(batches):
+            own, *asked = zip(t.column("owner").to_pylist(), t.column("data").to_pylist(), strict=True)
+            word, _, one, two, more, before = unpack(own[1])
+            word, s = np.cumsum(word), sums[key // shards]
+            cut, p = s.cut(one, two, more).astype(np.float32), s.p(before).astype(np.float32)
+            for owner, data in asked:
+                q = np.cumsum(unpack(data)[0])
+                at = np.searchsorted(word, q)
+                yield _cells([(owner, 1, key, pack(steps(q), cut[at], p[at]))])
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _each(batches):
+            own, *told = t.column("data").to_pylist()
+            v, w, n = unpack(own)
+            v, s = np.cumsum(v), sums[key // shards]
+            parts = [(np.cumsum(q), floats(c), floats(p)) for q, c, p in map(unpack, told)]
+            word, cut, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(word)
+            word, cut, p = word[order], cut[order].astype(float), p[order].astype(float)
+            gain = np.log2(1 + (n - _taken(n, s.pair)) / (cut[np.searchsorted(word, v)] * p[np.searchsorted(word, w)]))
+            ids = gram_ids(v, w)
+            order = np.argsort(ids)
+            yield _cells([(key, 0, 0, pack(steps(ids[order]), gain[order].astype(np.float32)))])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches, 1):
+            for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
+                word, c, one, two, more, before = unpack(data)
+                s = sums[key // shards]
+                gain = np.log2(s.cut(one, two, more) / c * s.p(before) / s.rest)
+                ids = unigram_ids(np.cumsum(word))
+                order = np.argsort(ids)
+                # values may be negative: their bits go as they are
+                yield _cells([(key, 0, 0, pack(steps(ids[order]), gain[order].astype(np.float32)))])
+
+    row = lambda df: df.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("owner"), "data")
+    asked = counted.select("key", "data").mapInArrow(ask, CELL)
+    told = _met(row(words).union(asked), answer, CELL)
+    return _met(row(counted).union(told), value, CELL).union(words.select("key", "data").mapInArrow(single, CELL))
 
 
-def perplexity(docs: DataFrame, bits: np.ndarray, text: str = "text", out: str = "perplexity") -> DataFrame:
-    """``docs`` with ``out``: two to the mean bits a symbol. Null texts count as empty (one closing line end)."""
-    rest = docs.drop(out)
-    schema = rest.select("*", F.lit(0.0).alias(out)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 4 MB whatever the data
+def _asked(docs: DataFrame, shards: int, rounds: int, turn: int) -> DataFrame:
+    """For the shards of a round: n-grams of some texts with the texts' numbers (kind 1), and who these texts are (kind 2).
+
+    ``docs``: a, b (128 bits that tell the row), text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batches(batches, 256):
-            g, who = grams([t or "" for t in b.column(text).to_pylist()])
-            n = np.bincount(who, minlength=b.num_rows)
-            mean = np.bincount(who, weights=shared.value[g], minlength=b.num_rows) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.exp2(mean))], names=[*b.schema.names, out])
+        held: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in range(FOLDS)]
+        size = [0] * FOLDS
+
+        def rows(fold: int) -> list:
+            own, size[fold] = held[fold], 0
+            held[fold] = []
+            a, b = (np.array([x[i] for x in own], np.int64).view(np.uint64) for i in (0, 1))
+            n = np.array([len(x[2]) for x in own], np.uint64)
+            name = struct.unpack("<q", hashlib.blake2b(a.tobytes() + b.tobytes() + bytes([fold]), digest_size=8).digest())[0]
+            base = (FOLDS - 1 - fold) * shards  # the model of the other fold
+            mine = [s for s in range(shards) if s % rounds == turn]
+            out = [(base + mine[name % len(mine)], 2, name, pack(a, b, n, np.array([fold], np.uint64)))]
+            ring = np.concatenate([x[2] for x in own])
+            who = np.repeat(np.arange(len(own), dtype=np.uint64), n.astype(np.int64))
+            ids = np.concatenate((unigram_ids(ring), gram_ids(ring, np.concatenate((ring[1:], [ENDS])))))
+            if rounds > 1:
+                keep = (((ids >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)) % np.uint64(rounds) == turn
+                both = ((ids << np.uint64(16)) | np.concatenate((who, who)))[keep]
+            else:
+                both = (ids << np.uint64(16)) | np.concatenate((who, who))
+            both, count = np.unique(both, return_counts=True)
+            ids, who = both >> np.uint64(16), both & np.uint64(MANY - 1)
+            edge = _cuts(ids, shards).tolist()
+            for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if j > i:
+                    x, d = ids[i:j], who[i:j]
+                    new = np.concatenate(([True], x[1:] != x[:-1]))
+                    first = np.flatnonzero(new)
+                    d = np.where(new, d, np.diff(d, prepend=np.uint64(0)))
+                    out.append((base + s, 1, name, pack(steps(x[first]), np.diff(np.append(first, j - i)), d, count[i:j])))
+            return out
+
+        for batch in _batches(batches, 256):
+            for a, b, h in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingles.word_hashes(batch.column("text").to_pylist()), strict=True):
+                f = fold_of(h)
+                held[f].append((a, b, word_ids(h)))
+                size[f] += len(h) + 1
+                if size[f] >= GATHER or len(held[f]) >= MANY:
+                    yield _cells(rows(f))
+        for f in range(FOLDS):
+            if held[f]:
+                yield _cells(rows(f))
+
+    return docs.mapInArrow(run, CELL)
+
+
+def _told(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """a, b, fold, n, bits: for each text how many words its ring has, and the values of its n-grams summed."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
 
-    return rest.mapInArrow(run, schema)
+        def rows() -> list:
+            out = []
+            for name, x in held.items():
+                at = np.flatnonzero(x)
+                out.append((0, 1, name, pack(steps(at.astype(np.uint64)), x[at].astype(np.float32))))
+            held.clear()
+            return out
+
+        size = 0
+        for _, t in _each(batches):
+            kinds = t.column("kind").to_pylist()
+            ids, gain = np.empty(0, np.uint64), np.empty(0)
+            for kind, name, data in zip(kinds, t.column("owner").to_pylist(), t.column("data").to_pylist(), strict=True):
+                if kind == 0:
+                    x, y = unpack(data)
+                    ids, gain = np.concatenate((ids, np.cumsum(x))), np.concatenate((gain, floats(y)))
+                    order = np.argsort(ids, kind="stable")
+                    ids, gain = ids[order], gain[order]
+                elif kind == 2:
+                    yield _cells([(0, 0, name, data)])
+                elif len(ids):
+                    x, docs, d, count = unpack(data)
+                    x = np.cumsum(x)
+                    docs = docs.astype(np.int64)
+                    at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+                    found = np.where(ids[at] == x, gain[at], 0.0)
+                    first = np.cumsum(docs) - docs
+                    up = np.cumsum(d.astype(np.int64))
+                    who = up - np.repeat(up[first] - d[first].astype(np.int64), docs)
+                    add = np.bincount(who, weights=np.repeat(found, docs) * count)
+                    have = held.get(name)
+                    if have is None or len(have) < len(add):
+                        size += len(add) - (0 if have is None else len(have))
+                        more = np.zeros(len(add))
+                        if have is not None:
+                            more[: len(have)] = have
+                        have = held[name] = more
+                    have[: len(add)] += add
+                    if size > 1 << 21:
+                        size = 0
+                        yield _cells(rows())
+        yield _cells(rows())
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _each(batches, "owner"):
+            data = t.column("data").to_pylist()
+            a, b, n, fold = unpack(data[0])
+            bits = np.zeros(len(a))
+            kinds = t.column("kind").to_pylist()
+            for kind, x in zip(kinds, data, strict=True):
+                if kind == 1:
+                    at, y = unpack(x)
+                    bits[np.cumsum(at).astype(np.int64)] += floats(y)
+            bits /= kinds.count(0)  # equal rows in equal order, gathered twice, have one name
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), int(fold[0])), pa.int32()), pa.array(n.astype(np.int64)), pa.array(bits)], names=["a", "b", "fold", "n", "bits"])
+
+    met = _met(values.union(asked), answer, CELL)
+    return _met(met, total, "a long, b long, fold int, n long, bits double", "owner")
+
+
+def _keys(text: str = "text"):
+    return F.xxhash64("doc_id", text).alias("a"), F.xxhash64(F.lit(1), text, "doc_id").alias("b")
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, rounds: int = 2) -> DataFrame:
+    """a, b, fold, perplexity: of each row of ``docs`` (doc_id, text) under the model of the other fold's ``trusted`` texts (text).
+
+    a and b, 128 bits of hash of doc_id and text, tell the row; repeated rows come once. Null texts count as empty; of an empty text the end is scored.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
+    rounds = min(rounds, shards)
+    counted = saved(_counted(trusted.where("text is not null"), shards), "bigrams")
+    release(spark)
+    words = saved(_words(counted, shards), "words")
+    sums = _sums(counted, words, shards)
+    values = saved(_values(counted, words, sums, shards), "values")
+    discard(counted)
+    discard(words)
+    release(spark)
+    keyed = docs.select(*_keys(), "text")
+    out = None
+    for turn in range(rounds):
+        mine = values.where(F.col("key") % shards % rounds == turn)
+        part = saved(_told(_asked(keyed, shards, rounds, turn), mine).withColumn("turn", F.lit(turn)), "sums")
+        release(spark)
+        out = part if out is None else out.union(part)
+    each = out.groupBy("a", "b", "turn").agg(F.max("fold").alias("fold"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    each = each.groupBy("a", "b").agg(F.max("fold").alias("fold"), F.max("n").alias("n"), F.sum("bits").alias("bits"))
+    rest = F.element_at(F.array(*[F.lit(float(np.log2(s.rest))) for s in reversed(sums)]), F.col("fold") + 1)
+    made = saved(each.select("a", "b", "fold", F.pow(F.lit(2.0), -(F.col("bits") / F.col("n") + rest)).alias("perplexity")), "perplexities")
+    release(spark)
+    return made
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", quantile: float = 0.99, margin: float = 1.05, least: int = 30) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", quantile: float = 0.995, margin: float = 1.05, least: int = 30, rounds: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) with perplexity, threshold and kept.
 
-    Trusted are the documents that ``labels`` marks 1. The threshold is ``margin`` times the ``quantile`` of the perplexities
-    of a language's trusted texts; languages with fewer than ``least`` of them, and null ones, take that of all trusted texts.
-    Without trusted text everything is kept (threshold null). Null and empty texts are scored as empty. Repeated rows
-    stay repeated; columns of the new names are replaced.
+    Trusted are the documents that ``labels`` marks 1 (one of several labels suffices). The threshold is ``margin`` times the ``quantile`` of the perplexities
+    of a language's trusted texts, for each fold, as each has its model; languages with fewer than ``least`` of them, and null ones, take that of all trusted
+    texts of the fold. Without trusted text in its fold a text is kept (threshold null). Null and empty texts are scored as empty. Rows without doc_id are
+    scored and never trusted. Repeated rows stay repeated and score alike, ties at the threshold are kept; an empty table gives an empty result. Columns of the
+    new names are replaced, all others stay, whatever they are called.
     """
     good = saved(labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "trusted")
     rest = docs.drop("perplexity", "threshold", "kept")
-    trusted = rest.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(good) if good.count() <= SMALL else good, "doc_id", "left_semi")
-    bits = table(train(saved(count(trusted), "grams")))
-    trusted = saved(perplexity(trusted, bits).select("lang", "perplexity"), "perplexities")
+    known = F.broadcast(good) if fits(good, 32) else good
+    trusted = rest.select("doc_id", "text").join(known, "doc_id", "left_semi")
+    scored = perplexities(rest.select("doc_id", "text"), trusted, rounds)
     accuracy = 10_000  # of the quantile sketches, whose size it bounds
-    sketch = F.percentile_approx("perplexity", quantile, accuracy)
-    whole = trusted.agg(sketch.alias("q")).first().q
-    by_lang = trusted.groupBy("lang").agg(sketch.alias("q"), F.count("*").alias("n")).where(f"n >= {least} and lang is not null").select("lang", (F.col("q") * margin).alias("__q"))
-    limit = F.coalesce("__q", F.lit(None if whole is None else whole * margin).cast("double"))
-    out = perplexity(rest, bits).join(by_lang, "lang", "left").withColumn("threshold", limit)
-    return out.select(*rest.columns, "perplexity", "threshold", (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
+    sketch = (F.percentile_approx("perplexity", quantile, accuracy) * margin).alias("q")
+    a, b, fold, found, q, r = (helper(rest, x) for x in "abfpqr")
+    scored = scored.select(F.col("a").alias(a), F.col("b").alias(b), F.col("fold").alias(fold), F.col("perplexity").alias(found))
+    scored = F.broadcast(scored) if fits(scored, 64) else scored
+    keyed = rest.select("*", *[k.alias(x) for k, x in zip(_keys(), (a, b), strict=True)]).join(scored, [a, b])
+    own = keyed.join(known, "doc_id", "left_semi").select(F.col(fold).alias("fold"), "lang", F.col(found).alias("perplexity"))
+    by_lang = own.groupBy("fold", "lang").agg(sketch, F.count("*").alias("n")).where(f"n >= {least} and lang is not null").select(F.col("fold").alias(fold), "lang", F.col("q").alias(q))
+    whole = own.groupBy("fold").agg(sketch).select(F.col("fold").alias(fold), F.col("q").alias(r))
+    out = keyed.join(saved(by_lang, "thresholds"), [fold, "lang"], "left").join(saved(whole, "thresholds"), fold, "left")
+    limit = F.coalesce(q, r)
+    return out.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(found).alias("perplexity"), limit.alias("threshold"), (limit.isNull() | (F.col(found) <= limit)).alias("kept"))
