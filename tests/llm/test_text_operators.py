@@ -200,6 +200,60 @@ def test_automaton():
     assert len(toxicity.Automaton([]).find(np.array([97], np.uint32), np.array([0]), np.array([1]))[0]) == 0
 
 
+def brute_evidence(text, terms, strict):
+    """Weights of the terms near a text's words by kind, straight from the definition."""
+    text, out, n = (text or "").lower(), [0.0] * 6, 0
+    for m in re.finditer(r"[^\W\d_]+", text):
+        n += 1
+        near = []
+        for t in sorted(terms):
+            stem, most = t.removesuffix("*"), 0 if t in strict else toxicity.edits_allowed(t)
+            far = min(levenshtein(m[0][:k], stem) for k in range(len(m[0]) + 1)) if t.endswith("*") else levenshtein(m[0], t)
+            near += [(far, t)] if far <= most else []
+        if not near:
+            continue
+        far, t = min(near)
+        before, after = text[max(0, m.start() - toxicity.WINDOW) : m.start()], text[m.end() : m.end() + toxicity.WINDOW]
+        marks = any(c in toxicity.QUOTES for c in before) and any(c in toxicity.QUOTES for c in after) and not re.search(r"\w[\"“”„«»]\s", before[-3:])
+        said = marks or bool(toxicity.REPORT & set(re.findall(r"\w+", before)[-3:]))
+        out[4 if said else (5 if far else 2) if t.endswith("*") else 1 if far else 0] += terms[t] / (1 + far)
+    out[3] = out[2] / (1 + n / 50)
+    return [math.log1p(x) for x in out]
+
+
+def test_evidence():
+    terms = {"idiot": 2.0, "moronic": 1.5, "worthless": 3.0, "stinker*": 2.5, "scum": 1.0, "flonkers": 0.7}
+    strict = frozenset({"flonkers"})
+    model = toxicity.Model(terms, strict=strict)
+    r, texts = random.Random(12), [None, "", "idiot"]
+    for _ in range(300):
+        w = []
+        for _ in range(r.randrange(30)):
+            x = list(r.choice([*terms, "word", "other", "le"]).removesuffix("*"))
+            for _ in range(r.choice([0, 0, 1, 2])):
+                x[r.randrange(len(x))] = r.choice("abcdeiou")
+            w.append(r.choice(["", "", '"', "said "]) + "".join(x) + r.choice(["", "", "", '"', "ing", ".", "7"]))
+        texts.append(" ".join(w))
+    got, scores = toxicity.Scorer(model).evidence(texts), toxicity.Scorer(model).scores(texts)
+    b, *weights = model.weights
+    for t, x, p in zip(texts, got, scores, strict=True):
+        want = brute_evidence(t, terms, strict)
+        assert np.allclose(x, want), t
+        assert abs(p - 1 / (1 + math.exp(-(b + sum(u * v for u, v in zip(weights, want, strict=True)))))) < 1e-9
+
+
+def test_terms_beyond_the_fuzzy_ones(spark):
+    """Each of 90 terms counts, the weakest as they are spelled; labels that contradict each other give one model."""
+    names = ["q" + "".join(chr(97 + int(c)) for c in f"{i * 7919 % 1000:03}") + "zorb" for i in range(90)]
+    texts = [" ".join(words(30, i, 3000) + [names[i % 90]] * (i % 2)) for i in range(2700)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(2700)] + [(i, 0) for i in range(0, 2700, 3)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_frame(spark, texts), lab, max_fuzzy=20)
+    assert model == toxicity.fit(docs_frame(spark, texts), lab.repartition(3), max_fuzzy=20)
+    held = [names[i] for i in range(1, 90, 2)]
+    s = toxicity.Scorer(model)
+    assert len(model.strict) == max(0, len(model.terms) - 20) and (s.scores(held) > s.scores([""])[0]).all()
+
+
 def test_toxicity(spark):
     r = random.Random(9)
     texts, labels = [], []
