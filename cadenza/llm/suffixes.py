@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import shingles
-from cadenza.llm.common import saved
+from cadenza.llm.common import fits, saved
 from cadenza.llm.neardup import _batches, _groups
 
 SEED = 64
@@ -308,13 +308,15 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Null texts count as empty; texts below ``length`` bytes lose nothing. Repeated rows are copies of each other. What is left may end
     inside a character, so it is binary. Null doc_ids are allowed. An empty table gives an empty result; other columns
-    are left out.
+    are left out, so their names can't clash. Ties don't matter: of equal strings each occurrence goes.
     """
     if length <= SEED:
         raise ValueError(f"length must be above {SEED}")
     table = saved(_anchor_table(docs, length), "anchors")
     often = table.groupBy("h").agg(F.count("*").alias("__n"), F.min("f").alias("__a"), F.max("f").alias("__z")).where("__n > 1").select("h", (F.col("__a") != F.col("__z")).alias("differ"))
-    table = saved(table.join(often, "h"), "repeated")
+    # a table of its own, so that the join's sides are plain shuffles and adaptive execution may split a hot anchor's rows
+    often = saved(often, "often")
+    table = saved(table.join(F.broadcast(often) if fits(often, 48) else often.hint("merge"), "h"), "repeated")
     # contexts that occur again match as a whole; such as differ within an anchor are sorted, one of each
     each = table.groupBy("h", "f").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.first("doc").alias("doc"), F.first("at").alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
     each = saved(each, "contexts")
@@ -322,8 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     places = saved(each.where("differ").join(hot, "h", "left").select("h", "f", F.coalesce("hot", F.lit(False)).alias("hot"), "doc", "at", "l", "r"), "places")
     sorted_ = _reach_table(places, docs, length, places.count() <= SMALL)
     again = each.where(f"n > 1 and l + r >= {length}").select("h", "f", "l", "r")
-    reach = sorted_.union(again).groupBy("h", "f").agg(F.max("l").alias("rl"), F.max("r").alias("rr"))
-    spans = table.select("h", "f", "doc", "at").join(reach, ["h", "f"]).select("doc", (F.col("at") - F.col("rl")).cast("int").alias("start"), (F.col("at") + F.col("rr")).cast("int").alias("stop"))
+    reach = saved(sorted_.union(again).groupBy("h", "f").agg(F.max("l").alias("rl"), F.max("r").alias("rr")), "reach")
+    spans = table.select("h", "f", "doc", "at").join(F.broadcast(reach) if fits(reach, 64) else reach.hint("merge"), ["h", "f"]).select("doc", (F.col("at") - F.col("rl")).cast("int").alias("start"), (F.col("at") + F.col("rr")).cast("int").alias("stop"))
     spans = saved(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("raw")), "spans")
     small = (spans.agg(F.sum(F.size("raw"))).first()[0] or 0) <= SMALL
 
