@@ -4,7 +4,7 @@ Two collections of ``tables`` bands, of ``rows`` minima a band, give tables * ta
 with every band of the other: 2 * tables * rows minima do the work of 2 * tables**2 * rows. At a Jaccard similarity s a
 pair shares a key with probability (1 - (1 - s**rows)**tables)**2; with 10 and 2, 0.9995 at 0.75, 0.99993 at 0.8 and more
 above. Only the bands of the first collection are shuffled (``tables`` rows a text, each with all bands of the second);
-the pairs are formed where rows with equal first bands meet.
+the pairs are formed where rows with equal first bands meet. Rows of a first band that HOT classes share are dealt out once more, by each of their second bands.
 
 Texts of equal shingle sets are one class, seen once. Documents of a bucket are not paired with each other all at once:
 
@@ -20,6 +20,7 @@ Every check takes the full sets. A hot partner is dealt out: its text goes to on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import shingles
-from cadenza.llm.common import components, cut, tidy
+from cadenza.llm.common import components, cut, fits, saved, tidy
 
 SKETCH = 40
 #: Sketches of pairs at a similarity of 0.75 agree in 30.6 of 40 places, with a deviation of 2.7; fewer than 18 never.
@@ -36,6 +37,8 @@ AGREE = 18
 #: Rows that may be broadcast (24 bytes each).
 SMALL = 1_000_000
 MEMBERS = 256
+#: Classes with one first band from which their rows are dealt out by the second bands as well.
+HOT = 20_000
 ROW = "id long, n long, bands binary, sketch binary"
 
 
@@ -126,6 +129,26 @@ def _tables(key: np.ndarray, bands: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1]))))
 
 
+def _split(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``keyed`` whose first band less than HOT classes have, and those of hot ones, each dealt to a key for each of its second bands, with that band only."""
+    hot = saved(keyed.groupBy("key").count().where(f"count >= {HOT}").select("key"), "hot")  # at most rows / HOT
+    if hot.isEmpty():
+        return keyed, None
+    hot = F.broadcast(hot) if fits(hot, 32) else hot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches, 1000):
+            bands = _bands(b.column("bands"))
+            each = np.repeat(np.arange(b.num_rows), bands.shape[1])
+            turn = np.tile(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), b.num_rows)
+            key = shingles.mix(b.column("key").to_numpy().view(np.uint64)[each] + shingles.mix((bands.reshape(-1).astype(np.uint64) << np.uint64(8)) | turn))
+            own = pa.array([x.tobytes() for x in bands.reshape(-1)], pa.binary())
+            each = pa.array(each)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c).take(each) for c in ("id", "n")), own, b.column("sketch").take(each)], names=["key", "id", "n", "bands", "sketch"])
+
+    return keyed.join(hot, "key", "left_anti"), keyed.join(hot, "key", "left_semi").select("key", "id", "n", "bands", "sketch").mapInArrow(run, f"key long, {ROW}")
+
+
 def _buckets(keyed: DataFrame, percent: int) -> DataFrame:
     """The rows that share a bucket with another: key, id, n, bands, sketch, low (smallest id it is a candidate with)."""
 
@@ -338,17 +361,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, tables:
     """
     sigs = cut(signatures(docs, width, 2 * tables * rows))
     classes = cut(sigs.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    buckets = cut(_buckets(_keys(classes, tables, rows), percent))
+    plain, hot = _split(_keys(classes, tables, rows))
+    parts = [cut(_buckets(x, percent)) for x in (plain, hot) if x is not None]
     sources = docs.select("doc_id", "text")
-    first = buckets.where("low is not null").groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b"))
+    low = [x.where("low is not null").select("id", "low") for x in parts]
+    first = reduce(DataFrame.union, low).groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b"))
     links = cut(check(first, sources, width, percent))
     comp = cut(components(links))
-    small = comp.count() <= SMALL
-    # buckets stay in their partitions and order if the components come by broadcast
+    small = fits(comp, 64)
     by_id = comp.withColumnRenamed("node", "id")
-    told = buckets.drop("low").join(F.broadcast(by_id) if small else by_id, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    told = told if small else told.repartition("key").sortWithinPartitions("key", "id")
-    near = cut(_between(told.select("key", "id", "n", "bands", "sketch", "comp"), percent))
+
+    def told(buckets: DataFrame) -> DataFrame:
+        # buckets stay in their partitions and order if the components come by broadcast
+        x = buckets.drop("low").join(F.broadcast(by_id) if small else by_id, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
+        x = x if small else x.repartition("key").sortWithinPartitions("key", "id")
+        return _between(x.select("key", "id", "n", "bands", "sketch", "comp"), percent)
+
+    near = cut(reduce(DataFrame.union, map(told, parts)))
     if near.isEmpty():
         final = comp.withColumnRenamed("node", "id")
     else:
