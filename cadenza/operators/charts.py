@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.quantiles import by_group
+
 
 def histogram(rows: DataFrame, value: str, bins: int = 50, by: list[str] | None = None) -> DataFrame:
     """by, bin, low, high, n, density in ``bins`` equal bins between the smallest and largest value of a group; the last takes in its upper edge."""
     by = by or []
     v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     edge = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("all"))
-    v = v.join(F.broadcast(edge), by) if by else v.join(F.broadcast(edge))
+    v = v.join(edge, by) if by else v.join(F.broadcast(edge))  # one row
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins)
     at = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     out = v.withColumn("w", width).withColumn("bin", at).groupBy(*by, "bin", "lo", "w", "all").agg(F.count("*").alias("n"))
@@ -31,7 +33,7 @@ def edged(rows: DataFrame, value: str, edges: list[float], by: list[str] | None
     inside = rows.where(F.col(value).between(edges[0], edges[-1])).select(*by, at.alias("bin"))
     n = inside.groupBy(*by, "bin").agg(F.count("*").alias("n"))
     total = inside.groupBy(*by).agg(F.count("*").alias("all"))
-    n = n.join(F.broadcast(total), by) if by else n.join(F.broadcast(total))
+    n = n.join(total, by) if by else n.join(F.broadcast(total))  # one row
     low, high = F.get(e, F.col("bin")), F.get(e, F.col("bin") + 1)
     return n.select(*by, "bin", low.alias("low"), high.alias("high"), "n", (F.col("n") / (F.col("all") * (high - low))).alias("density"))
 
@@ -64,10 +66,10 @@ def hexbin(rows: DataFrame, x: str, y: str, extent: tuple[float, float, float, f
 
 def boxes(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, n, q1, median, q3, low, high: whiskers end at the last values within 1.5 interquartile ranges."""
-    q = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = by_group(rows, by, value, [0.25, 0.5, 0.75])
     q = q.select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v = rows.join(F.broadcast(q), by)
+    v = rows.join(q, by)
     low = F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value)))
     high = F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value)))
     return v.groupBy(*by, "n", "q1", "median", "q3").agg(low.alias("low"), high.alias("high"))

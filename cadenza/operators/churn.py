@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -89,9 +90,9 @@ def _vectors(feats: DataFrame) -> DataFrame:
 
 
 def correlation(feats: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """a, b, r (Pearson), high, both_volume for each pair of features in their order."""
+    """a, b, r (Pearson; null where a feature is constant), high, both_volume for each pair of features in their order."""
     m = Correlation.corr(_vectors(feats), "x").first()[0].toArray()
-    rows = [(FEATURES[i], FEATURES[j], float(m[i, j]), bool(abs(m[i, j]) > s.high_correlation), FEATURES[i] in VOLUME and FEATURES[j] in VOLUME) for i in range(len(FEATURES)) for j in range(i + 1, len(FEATURES))]
+    rows = [(FEATURES[i], FEATURES[j], None if np.isnan(m[i, j]) else float(m[i, j]), bool(abs(m[i, j]) > s.high_correlation), FEATURES[i] in VOLUME and FEATURES[j] in VOLUME) for i in range(len(FEATURES)) for j in range(i + 1, len(FEATURES))]
     return feats.sparkSession.createDataFrame(rows, "a string, b string, r double, high boolean, both_volume boolean")
 
 
@@ -111,7 +112,9 @@ def fit(feats: DataFrame, trees: int = 100, depth: int = 8, seed: int = 42):
     lr = LogisticRegression(featuresCol="z", labelCol="churn", maxIter=500, regParam=1.0 / n, standardization=False).fit(scaler.transform(train))
     rf = RandomForestClassifier(featuresCol="x", labelCol="churn", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(train)
     out = lambda m, df, name: m.transform(df).select("uid", "churn", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("p"))
-    scored = out(lr, scaler.transform(test), "logistic").union(out(rf, test, "forest"))
+    scored = out(lr, scaler.transform(test), "logistic").union(out(rf, test, "forest")).persist()  # two rows for each of at most 27,000 users
+    scored.count()
+    rows.unpersist()
     weights = feats.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, rf.featureImportances.toArray(), strict=True)], "feature string, importance double")
     return scored, weights
 

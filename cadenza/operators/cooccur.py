@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Settings
 from cadenza.functions.columns import bucket
+from cadenza.operators.subset import hash_sample
 
 
 def net_pairs(likes: DataFrame, multi_event: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def net_pairs(likes: DataFrame, multi_event: DataFrame) -> DataFrame:
     return up.join(down, ["uid", "item_id"], "left").select("uid", "item_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("net_likes"))
 
 
+def net_view(pairs: DataFrame, name: str = "net_user_items") -> DataFrame:
+    """The pairs with net likes as a temp view for SQL."""
+    net_likes(pairs).createOrReplaceTempView(name)
+    return pairs.sparkSession.table(name)
+
+
 def net_likes(pairs: DataFrame) -> DataFrame:
     return pairs.where("net_likes > 0").select("uid", "item_id")
 
@@ -46,6 +53,11 @@ def colike_edges(pairs: DataFrame, key: str, most: int, least_weight: int) -> Da
     return pair.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_weight)
 
 
+def sampled(listens: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Listens of at most ``listen_users`` users, chosen by hash."""
+    return hash_sample(listens, "uid", s.listen_users)
+
+
 def popular(rows: DataFrame, key: str, least: int) -> DataFrame:
     """``key``, listeners: ids with at least ``least`` different users."""
     return rows.select("uid", key).distinct().groupBy(key).agg(F.count("*").alias("listeners")).where(F.col("listeners") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cadenza.config import DEFAULT, Settings
+from cadenza.functions.quantiles import by_group
 
 
 def user_counts(listens: DataFrame, key: str = "item_id", artist_map: DataFrame | None = None) -> DataFrame:
@@ -47,7 +48,9 @@ def quartiles(h: DataFrame) -> DataFrame:
 
 def quartile_medians(h: DataFrame) -> DataFrame:
     """is_organic, quartile, users, median_entropy."""
-    return quartiles(h).groupBy("is_organic", "quartile").agg(F.count("*").alias("users"), F.median("entropy").alias("median_entropy"))
+    # entropies are different for nearly every user, so no task may hold a group's values
+    q = by_group(quartiles(h), ["is_organic", "quartile"], "entropy", [0.5])
+    return q.select("is_organic", "quartile", F.col("n").alias("users"), F.col("q")[0].alias("median_entropy"))
 
 
 def verdict(medians: DataFrame, threshold: float = 0.5) -> DataFrame:

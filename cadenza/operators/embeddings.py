@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.sources.sinks import guarded
+
 
 def for_items(vectors: DataFrame, items: DataFrame) -> DataFrame:
     """Vectors of the given item_ids."""
@@ -29,6 +31,32 @@ def project(vectors: DataFrame, key: str, vector: str = "normalized_embed") -> D
     return out.select(key, vector_to_array("two").alias("two")).select(key, F.col("two")[0].alias("x"), F.col("two")[1].alias("y"))
 
 
+def figure(vectors: DataFrame | None, key: str, parts: DataFrame, nodes: DataFrame, least: int = 5, vector: str = "normalized_embed") -> DataFrame:
+    """``key``, community, x, y, place (by strength): the projection of the shown nodes that have a vector.
+
+    Empty without vectors (the stage is left out) and below ``least`` points. ``parts``: node, community; ``nodes``: node, strength.
+    """
+    schema = f"{key} long, community int, x double, y double, place int"
+    spark = parts.sparkSession
+    if vectors is None:
+        return spark.createDataFrame([], schema)
+    own = vectors.join(guarded(parts, 20_000, "figure").select(F.col("node").alias(key)), key, "left_semi")
+    if own.limit(least).count() < least:
+        return spark.createDataFrame([], schema)
+    by = F.row_number().over(Window.orderBy(F.desc("strength"), key))  # of a few hundred nodes
+    told = parts.join(nodes.select("node", "strength"), "node", "left").withColumnRenamed("node", key)
+    return project(own, key, vector).join(told, key).select(F.col(key).cast("long"), F.col("community").cast("int"), "x", "y", by.alias("place"))
+
+
+def contrast(points: DataFrame) -> DataFrame:
+    """side (smallest, largest), n, x, y: the centre of the smallest community and that of the points of the two largest; ties by number."""
+    sizes = points.groupBy("community").agg(F.count("*").alias("n"))
+    up, down = Window.orderBy("n", "community"), Window.orderBy(F.desc("n"), "community")  # a row per community
+    sides = sizes.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down))
+    sides = sides.select("community", F.explode(F.array_compact(F.array(F.when(F.col("up") == 1, "smallest"), F.when(F.col("down") <= 2, "largest")))).alias("side"))
+    return points.join(sides, "community").groupBy("side").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 def centroids(points: DataFrame) -> DataFrame:
     """community, n, x, y."""
     return points.groupBy("community").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
@@ -39,7 +67,7 @@ def separation(points: DataFrame, key: str = "item_id") -> DataFrame:
 
     ``points``: key, community, x, y of a shown subgraph (hundreds of points); each point meets all others, none of which leave the executors.
     """
-    p = points.select(F.col(key).alias("k"), F.col("community").alias("c"), "x", "y")
+    p = guarded(points, 20_000, "figure").select(F.col(key).alias("k"), F.col("community").alias("c"), "x", "y")
     q = p.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
     pairs = p.join(q, F.col("k") != F.col("k2")).withColumn("d", d)

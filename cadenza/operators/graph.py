@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT, Settings
+from cadenza.functions.columns import labelled
 from cadenza.sources.sinks import guarded
 
 
@@ -21,6 +22,22 @@ def top_nodes(edges: DataFrame, n: int) -> DataFrame:
     return strength(edges).orderBy(F.desc("strength"), "node").limit(n)
 
 
+def shown(edges: DataFrame, n: int, s: Settings = DEFAULT) -> DataFrame:
+    """The edges between the ``n`` strongest nodes; an error if the graph has more than ``edge_limit`` edges.
+
+    All edges are kept (in memory or on disk, at most ``edge_limit``), as every figure reads them several times.
+    """
+    edges = guarded(edges.persist(), s.edge_limit, "graph")
+    return induced(edges, top_nodes(edges, n)).persist()
+
+
+def label_nodes(nodes: DataFrame, labels: DataFrame, n: int = 8) -> DataFrame:
+    """node, strength, place, label of the ``n`` strongest of ``nodes`` (node, strength); ties by id. ``labels``: node, label."""
+    top = nodes.orderBy(F.desc("strength"), "node").limit(n)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("strength"), "node")))  # of n rows
+    return top.join(labels.select("node", "label"), "node", "left").select("node", "strength", "place", labelled("label", "node").alias("label"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     for end in ("a", "b"):

@@ -13,7 +13,7 @@ def activity(listens: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """month_offset (whole months), is_organic, events, unique_users."""
     month = floor_bucket(seconds(settings=s), s.month_seconds).alias("month_offset")
     by = listens.select(month, "is_organic", "uid").where(F.col("month_offset").between(0, s.last_month)).groupBy("month_offset", "is_organic")
-    return by.agg(F.count("*").alias("events"), F.countDistinct("uid").alias("unique_users"))
+    return by.agg(F.count("*").alias("events"), F.countDistinct("uid").alias("unique_users")).orderBy("month_offset", "is_organic")
 
 
 def quality(listens: DataFrame, s: Settings = DEFAULT, mode: str = "round") -> DataFrame:
@@ -26,7 +26,7 @@ def quality(listens: DataFrame, s: Settings = DEFAULT, mode: str = "round") -> D
     out = rows.where(F.col("month_offset").between(0, s.last_month)).groupBy("month_offset", "is_organic").agg(
         F.count("*").alias("n_events"), F.count_if(ratio < s.skip_below).alias("n_skips"), F.count_if(ratio >= s.full_from).alias("n_full")
     )
-    return out.withColumn("skip_pct", percent(F.col("n_skips"), F.col("n_events"))).withColumn("full_pct", percent(F.col("n_full"), F.col("n_events")))
+    return out.withColumn("skip_pct", percent(F.col("n_skips"), F.col("n_events"))).withColumn("full_pct", percent(F.col("n_full"), F.col("n_events"))).orderBy("month_offset", "is_organic")
 
 
 def growth(months: DataFrame, months_quality: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -32,7 +32,10 @@ def sessions(listens: DataFrame, s: Settings = DEFAULT, sampled: bool = False) -
 
 
 def summary(sess: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """mostly_organic, sessions, medians of events, duration and play ratio, share of sessions heard in full (percent)."""
+    """mostly_organic, sessions, medians of events, duration and play ratio, share of sessions heard in full (percent).
+
+    Medians are taken of counts of equal values: whole events and seconds, and play ratios in halves of whole percents (the median of integers).
+    """
     full = F.avg(F.when(F.col("median_played_ratio") >= s.full_from, 100.0).otherwise(0.0))
     return sess.groupBy("mostly_organic").agg(
         F.count("*").alias("sessions"), F.median("n_events").alias("median_events"), F.median("duration_sec").alias("median_duration"), F.median("median_played_ratio").alias("median_ratio"), full.alias("full_share_pct")

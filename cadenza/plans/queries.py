@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -167,6 +168,24 @@ def q_session_duration_histogram(spark, d):
     return charts.histogram(sessions.sessions(T.listens_ev(spark, d)).where("duration_sec > 0"), "duration_sec", 50)
 
 
+@register(f"""WITH {EV}, {SESSIONS}, e AS (SELECT i, pow(10, log10(greatest((SELECT max(n_events) FROM s), 1.0000001)) * i / 59) AS low FROM range(60) r(i)),
+x AS (SELECT mostly_organic, least((SELECT count(*) FROM e WHERE low <= n_events) - 1, 58) AS bin FROM s WHERE n_events BETWEEN 1 AND (SELECT max(low) FROM e))
+SELECT mostly_organic, CAST(bin AS INTEGER) AS bin, round(a.low, 6) AS low, round(b.low, 6) AS high, n, round(n / (sum(n) OVER (PARTITION BY mostly_organic) * (b.low - a.low)), 6) AS density
+FROM (SELECT mostly_organic, bin, count(*) AS n FROM x GROUP BY 1, 2) c JOIN e a ON a.i = bin JOIN e b ON b.i = bin + 1""")
+def q_session_events_log_histogram(spark, d):
+    sess = sessions.sessions(T.listens_ev(spark, d))
+    highest = sess.agg(F.max("n_events")).first()[0] or 1  # one number
+    return charts.edged(sess, "n_events", charts.log_edges(highest), ["mostly_organic"])
+
+
+@register(f"""WITH {EV}, {SESSIONS}, p AS (SELECT mostly_organic, n_events / 1.0 AS x, median_played_ratio AS y FROM s WHERE n_events BETWEEN 0 AND 40 AND median_played_ratio BETWEEN 0 AND 110),
+q AS (SELECT *, x / (40.0 / 40) AS u, y / (110.0 / 23) AS v FROM p), c AS (SELECT *, round_even(u, 0) AS i1, round_even(v, 0) AS j1, floor(u) AS i2, floor(v) AS j2 FROM q),
+h AS (SELECT mostly_organic, (u - i1) ** 2 + 3 * (v - j1) ** 2 < (u - i2 - 0.5) ** 2 + 3 * (v - j2 - 0.5) ** 2 AS near, i1, j1, i2, j2 FROM c)
+SELECT mostly_organic, round(CASE WHEN near THEN i1 ELSE i2 + 0.5 END * (40.0 / 40), 6) AS cx, round(CASE WHEN near THEN j1 ELSE j2 + 0.5 END * (110.0 / 23), 6) AS cy, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM h GROUP BY 1, 2, 3""")
+def q_session_hexbin(spark, d):
+    return charts.hexbin(sessions.sessions(T.listens_ev(spark, d)), "n_events", "median_played_ratio", (0.0, 40.0, 0.0, 110.0), by=["mostly_organic"])
+
+
 NET = """up AS (SELECT uid, item_id, count(*) AS n FROM ev WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2),
 down AS (SELECT uid, item_id, count(*) AS m FROM ev WHERE event_type = 'error' GROUP BY 1, 2),
 net AS (SELECT uid, item_id, n - coalesce(m, 0) AS net_likes FROM up LEFT JOIN down USING (uid, item_id))"""
@@ -211,8 +230,13 @@ def q_colike_edges_artist(spark, d):
     return cooccur.colike_edges(pairs, "artist_id", DEFAULT.like_artists, DEFAULT.like_artist_weight)
 
 
+@register(f"WITH {EV}, {NET} SELECT uid, item_id FROM net WHERE net_likes > 0")
+def q_net_user_items(spark, d):
+    cooccur.net_view(_net(spark, d))
+    return spark.sql("SELECT uid, item_id FROM net_user_items")
+
+
 STRENGTH = "st AS (SELECT node, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT a AS node, weight FROM edge UNION ALL SELECT b, weight FROM edge) GROUP BY 1)"
-TOP = "top AS (SELECT node, strength FROM st ORDER BY strength DESC, node LIMIT 40), sub AS (SELECT * FROM edge WHERE a IN (SELECT node FROM top) AND b IN (SELECT node FROM top))"
 
 
 @register(f"WITH {EV}, {ITEM_LIKES}, {STRENGTH} SELECT * FROM st")
@@ -220,33 +244,6 @@ def q_node_strength(spark, d):
     return graph.strength(_item_edges(spark, d))
 
 
-def _shown(spark, d, n=40):
-    edges = _item_edges(spark, d)
-    return graph.induced(edges, graph.top_nodes(edges, n))
-
-
-@register(f"WITH {EV}, {ITEM_LIKES}, {STRENGTH}, {TOP} SELECT * FROM sub")
-def q_induced_topn_edges(spark, d):
-    return _shown(spark, d)
-
-
-@register(f"WITH {EV}, {ITEM_LIKES}, {STRENGTH}, {TOP}, st2 AS (SELECT node, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT a AS node, weight FROM sub UNION ALL SELECT b, weight FROM sub) GROUP BY 1) SELECT node, strength, round(strength / (SELECT max(strength) FROM st2) * 370 + 30, 6) AS size FROM st2")
-def q_subgraph_degree(spark, d):
-    edges = _shown(spark, d)
-    return graph.drawn(edges, graph.strength(edges))[1]
-
-
-@register()
-def q_communities(spark, d):
-    return graph.louvain(_shown(spark, d))
-
-
-@register()
-def q_adjacency_cells(spark, d):
-    edges = _shown(spark, d)
-    return graph.matrix_cells(edges, graph.louvain(edges))
-
-
 def colisten_sql(days: str, popular: int, most: int, weight: int) -> str:
     return f"""days AS ({days}), pop AS (SELECT x, count(DISTINCT uid) AS listeners FROM days GROUP BY x HAVING count(DISTINCT uid) >= {popular}),
 tmp AS (SELECT DISTINCT uid, x, day_bucket FROM days WHERE x IN (SELECT x FROM pop)),
@@ -259,7 +256,7 @@ ARTIST_LISTENS = colisten_sql("SELECT uid, artist_id AS x, CAST(timestamp / 1728
 
 
 def _days(spark, d):
-    return cooccur.listening_days(T.listens_ev(spark, d))
+    return cooccur.listening_days(cooccur.sampled(T.listens_ev(spark, d)))
 
 
 def _flat(spark, d):
@@ -287,6 +284,94 @@ def q_colisten_edges_artist(spark, d):
     return cooccur.colisten_edges(cooccur.colisten_flat(days, "artist_id", DEFAULT.listen_popular_artists, DEFAULT.listen_artists), "artist_id", DEFAULT.listen_artist_weight)
 
 
+#: The four graphs that are shown: their edges, the SQL of these, and how many nodes.
+GRAPHS = {
+    "colike_item": (q_colike_edges_item, f"{EV}, {ITEM_LIKES}", DEFAULT.like_top_items),
+    "colike_artist": (q_colike_edges_artist, f"{EV}, {ART_EV}, {ARTIST_LIKES}", DEFAULT.like_top_artists),
+    "colisten_item": (q_colisten_edges_item, f"{EV}, {ITEM_LISTENS}", DEFAULT.listen_top_items),
+    "colisten_artist": (q_colisten_edges_artist, f"{EV}, {ART_EV}, {ARTIST_LISTENS}", DEFAULT.listen_top_artists),
+}
+
+
+def graphs_sql(select: str, more: str = "") -> str:
+    """``select`` over each graph's shown edges (sub) and nodes (st2)."""
+    one = """(WITH {base}, {strength}, top AS (SELECT node, strength FROM st ORDER BY strength DESC, node LIMIT {n}),
+sub AS (SELECT * FROM edge WHERE a IN (SELECT node FROM top) AND b IN (SELECT node FROM top)),
+st2 AS (SELECT node, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT a AS node, weight FROM sub UNION ALL SELECT b, weight FROM sub) GROUP BY 1){more} SELECT '{name}' AS graph, {select})"""
+    return "\nUNION ALL\n".join(f"SELECT * FROM {one.format(base=sql, strength=STRENGTH, n=n, name=name, select=select, more=more)}" for name, (_, sql, n) in GRAPHS.items())
+
+
+def _shown(spark, d, name="colike_item"):
+    edges, _, n = GRAPHS[name]
+    return graph.shown(edges(spark, d), n)
+
+
+def _graphs(spark, d, make) -> DataFrame:
+    """``make`` of each graph's shown edges, with the graph's name."""
+    out = None
+    for name in GRAPHS:
+        one = make(_shown(spark, d, name), name).select(F.lit(name).alias("graph"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(graphs_sql("a, b, weight, round(weight / (SELECT max(weight) FROM sub) * 2.5 + 0.3, 6) AS width FROM sub"))
+def q_induced_topn_edges(spark, d):
+    return _graphs(spark, d, lambda e, _: graph.drawn(e, graph.strength(e))[0])
+
+
+@register(graphs_sql("node, strength, round(strength / (SELECT max(strength) FROM st2) * 370 + 30, 6) AS size FROM st2"))
+def q_subgraph_degree(spark, d):
+    return _graphs(spark, d, lambda e, _: graph.drawn(e, graph.strength(e))[1])
+
+
+RANKED = """, ranked AS (SELECT {key} AS node, '{prefix}' || row_number() OVER (ORDER BY count(*) DESC, {key}) AS label FROM {rows} GROUP BY 1)"""
+
+
+def labels_sql() -> str:
+    """The eight strongest nodes of each graph with their labels."""
+    text = graphs_sql("node, strength, CAST(place AS INTEGER) AS place, coalesce(label, '#' || node) AS label FROM (SELECT *, row_number() OVER (ORDER BY strength DESC, node) AS place FROM st2 QUALIFY place <= 8) LEFT JOIN ranked USING (node)", "@@")
+    item, artist = RANKED.format(key="item_id", prefix="T", rows="ev"), RANKED.format(key="artist_id", prefix="A", rows="ev JOIN art USING (item_id) WHERE artist_id IS NOT NULL")
+    for more in (item, artist, item, artist):
+        text = text.replace("@@", more, 1)
+    return text
+
+
+@register(labels_sql())
+def q_graph_labels(spark, d):
+    ev = T.listens_ev(spark, d)
+    tracks = ranks.track_ranks(ev).withColumnRenamed("item_id", "node")
+    artists = ranks.artist_ranks(ev, T.artist_map_ev(spark, d)).withColumnRenamed("artist_id", "node")
+    return _graphs(spark, d, lambda e, name: graph.label_nodes(graph.strength(e), artists if name.endswith("artist") else tracks))
+
+
+@register()
+def q_communities(spark, d):
+    return _graphs(spark, d, lambda e, _: graph.louvain(e))
+
+
+@register()
+def q_community_sizes(spark, d):
+    return _graphs(spark, d, lambda e, _: graph.community_sizes(graph.louvain(e)))
+
+
+@register()
+def q_adjacency_cells(spark, d):
+    return _graphs(spark, d, lambda e, _: graph.matrix_cells(e, graph.louvain(e)))
+
+
+@register(graphs_sql("(SELECT count(*) FROM st2) AS nodes, CAST(2 * count(*) AS BIGINT) AS cells, CAST(2 * sum(weight) AS BIGINT) AS weight FROM sub HAVING count(*) > 0"))
+def q_matrix_totals(spark, d):
+    """Of the matrices that communities put in order: rows that hold a cell, cells and their sum."""
+    cells = q_adjacency_cells(spark, d)
+    return cells.groupBy("graph").agg(F.countDistinct("i").alias("nodes"), F.count("*").alias("cells"), F.sum("weight").alias("weight"))
+
+
+@register()
+def q_graph_layout(spark, d):
+    return _graphs(spark, d, lambda e, _: graph.spring_layout(e))
+
+
 @register(f"""WITH {EV}, {ITEM_LISTENS} SELECT 'popular' AS test, count(*) AS n, count(*) < 50 AS low FROM pop UNION ALL SELECT 'flat', count(*), count(*) < 1000 FROM flat UNION ALL SELECT 'edges', count(*), count(*) < 50 FROM edge""")
 def q_colisten_warnings(spark, d):
     flat = _flat(spark, d)
@@ -377,6 +462,14 @@ def q_attention_night_vs_day(spark, d):
     return heatmap.attention(heatmap.grid(heatmap.week(T.listens_ev(spark, d)), "day_of_week", 7, "avg_played_ratio"))
 
 
+@register(f"""WITH {EV}, x AS (SELECT is_organic, timestamp * 5 - min(timestamp * 5) OVER (PARTITION BY uid) AS off FROM ev),
+l AS (SELECT is_organic, CAST(off / 86400 AS INTEGER) AS day_idx, CAST(off % 86400 / 3600 AS INTEGER) AS hour, count(*) AS events FROM x WHERE off < 14 * 86400 GROUP BY 1, 2, 3)
+SELECT CAST(f.i AS SMALLINT) AS is_organic, CAST(dd.i AS INTEGER) AS day_idx, CAST(hh.i AS INTEGER) AS hour, coalesce(events, 0) AS events
+FROM range(2) f(i), range(14) dd(i), range(24) hh(i) LEFT JOIN l ON l.is_organic = f.i AND l.day_idx = dd.i AND l.hour = hh.i""")
+def q_heatmap_lifecycle_grid(spark, d):
+    return heatmap.grid(heatmap.lifecycle(T.listens_ev(spark, d)), "day_idx", 14)
+
+
 CUT = "cut AS (SELECT max(timestamp) * 5 - 180 * 86400 AS c FROM li)"
 
 
@@ -410,29 +503,62 @@ def q_churn_features(spark, d):
     return _features(spark, d)
 
 
-@register(f"WITH f AS ({FEATURES}), x AS (SELECT round(corr(n_events, n_unique_items), 4) AS a, round(corr(organic_ratio, avg_played_ratio), 4) AS b, round(corr(gap_p50, gap_p95), 4) AS c, round(corr(events_last_7d, events_last_30d), 4) AS d FROM f)\nSELECT 'n_events' AS a, 'n_unique_items' AS b, a AS r FROM x UNION ALL SELECT 'organic_ratio', 'avg_played_ratio', b FROM x UNION ALL SELECT 'gap_p50', 'gap_p95', c FROM x UNION ALL SELECT 'events_last_7d', 'events_last_30d', d FROM x")
+def correlation_sql() -> str:
+    """All pairs of features, on unrounded values."""
+    raw, n = re.sub(r"round\((.+?), 6\) AS", r"\1 AS", FEATURES), len(churn.FEATURES)
+    pairs = [(churn.FEATURES[i], churn.FEATURES[j]) for i in range(n) for j in range(i + 1, n)]
+    values = ", ".join(f"corr({a}, {b}) AS c{k}" for k, (a, b) in enumerate(pairs))
+    row = "SELECT '{a}' AS a, '{b}' AS b, CASE WHEN NOT isnan(c{k}) THEN round(c{k}, 4) END AS r, coalesce(NOT isnan(c{k}) AND abs(c{k}) > 0.85, false) AS high, {both} AS both_volume FROM x"
+    rows = [row.format(a=a, b=b, k=k, both=str(a in churn.VOLUME and b in churn.VOLUME).lower()) for k, (a, b) in enumerate(pairs)]
+    return f"WITH f AS ({raw}), x AS (SELECT {values} FROM f) " + " UNION ALL ".join(rows)
+
+
+@register(correlation_sql())
 def q_churn_feature_correlation(spark, d):
-    r = churn.correlation(_features(spark, d), LONG_TAIL)
-    return r.where("(a, b) in (('n_events', 'n_unique_items'), ('organic_ratio', 'avg_played_ratio'), ('gap_p50', 'gap_p95'), ('events_last_7d', 'events_last_30d'))").select("a", "b", F.round("r", 4).alias("r"))
+    return churn.correlation(_features(spark, d), LONG_TAIL).withColumn("r", F.round("r", 4))
+
+
+def _fitted(spark, d):
+    return churn.fit(churn.capped(_features(spark, d), LONG_TAIL))
 
 
 @register()
 def q_churn_model_metrics(spark, d):
-    scored, _ = churn.fit(_features(spark, d), trees=20)
+    scored, _ = _fitted(spark, d)
     return churn.metrics(scored).join(churn.auc(scored), "model")
 
 
 @register()
 def q_churn_importances(spark, d):
-    return churn.importances(churn.fit(_features(spark, d), trees=20)[1])
+    return churn.importances(_fitted(spark, d)[1])
 
 
 @register()
 def q_roc_points(spark, d):
-    return churn.roc_points(churn.fit(_features(spark, d), trees=20)[0])
+    return churn.roc_points(_fitted(spark, d)[0])
+
+
+#: The measures of a score that needs no model: a user's recent events among all.
+RECENT = f"""WITH f AS ({FEATURES}), sc AS (SELECT uid, churn AS y, 1 - events_last_30d / n_events AS p FROM f)"""
+
+
+def _recent(spark, d):
+    return _features(spark, d).select("uid", "churn", F.lit("recent").alias("model"), (1 - F.col("events_last_30d") / F.col("n_events")).alias("p"))
+
+
+@register(f"""{RECENT}, a AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY p)
+SELECT 'recent' AS model, round(p, 6) AS p, round(sum(neg) OVER w / nullif(sum(neg) OVER (), 0), 6) AS fpr, round(sum(pos) OVER w / nullif(sum(pos) OVER (), 0), 6) AS tpr FROM a WINDOW w AS (ORDER BY p DESC)""")
+def q_roc_points_of_recent(spark, d):
+    return churn.roc_points(_recent(spark, d))
 
 
-ART_VEC = "SELECT vec_id AS item_id, CAST(label AS BIGINT) AS artist_id FROM embeddings"
+@register(f"""{RECENT}, k AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM sc), t AS (SELECT sum(r) FILTER (y = 1) AS s, sum(y) AS np, count(*) AS n FROM k),
+h AS (SELECT y, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS h FROM sc), c AS (SELECT k AS class, count(*) FILTER (y = k AND h = k) AS tp, count(*) FILTER (h = k) AS found, count(*) FILTER (y = k) AS support FROM h, (VALUES (0), (1)) v(k) GROUP BY k),
+m AS (SELECT class, support, coalesce(tp / nullif(found, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS r FROM c)
+SELECT 'recent' AS model, class, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support, round((s - np * (np + 1) / 2) / nullif(np * (n - np), 0), 6) AS auc FROM m, t""")
+def q_metrics_of_recent(spark, d):
+    scored = _recent(spark, d)
+    return churn.metrics(scored).join(churn.auc(scored), "model")
 
 
 @register("""WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(CAST(v AS DOUBLE)) AS v, count(*) AS n FROM x GROUP BY 1, 2)
@@ -443,22 +569,62 @@ def q_artist_mean_embedding(spark, d):
     return mean.select("artist_id", "items", F.posexplode("embedding").alias("p", "v"))
 
 
-POINTS = "pt AS (SELECT vec_id AS k, label AS c, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
-SHOWN = f"{EV}, {ITEM_LIKES}, {STRENGTH}, {TOP}, {POINTS}, shown AS (SELECT pt.* FROM pt WHERE k IN (SELECT node FROM top))"
+def _figures(spark, d, make) -> DataFrame:
+    """``make`` of the projected points of both co-listening graphs; an artist's vector is the mean of its items'."""
+    vectors, out = T.embeddings_ev(spark, d), None
+    for name, key in (("colisten_item", "item_id"), ("colisten_artist", "artist_id")):
+        own = vectors if key == "item_id" else embeddings.artist_mean(vectors, T.artist_map_ev(spark, d)).withColumnRenamed("embedding", "normalized_embed")
+        edges = _shown(spark, d, name)
+        points = embeddings.figure(own, key, graph.louvain(edges), graph.strength(edges)).withColumnRenamed(key, "node")
+        one = make(points).select(F.lit(name).alias("graph"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register()
+def q_embedding_points(spark, d):
+    return _figures(spark, d, lambda p: p)
 
 
-@register(f"""WITH {SHOWN}, pr AS (SELECT p.k, p.c = q.c AS same, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM shown p JOIN shown q ON p.k <> q.k), e AS (SELECT k, avg(d) FILTER (same) AS s, avg(d) FILTER (NOT same) AS o FROM pr GROUP BY k)
-SELECT (SELECT count(*) FROM shown) AS n, round(avg(o) / avg(s), 6) AS ratio FROM e""")
+@register()
 def q_embedding_separation(spark, d):
-    nodes = graph.top_nodes(_item_edges(spark, d), 40)  # those shown in the figure
-    e = embeddings.for_items(T.embeddings_ev(spark, d), nodes.select(F.col("node").alias("item_id")))
-    return embeddings.separation(e.select("item_id", "community", F.col("normalized_embed")[0].alias("x"), F.col("normalized_embed")[1].alias("y")))
+    return _figures(spark, d, lambda p: embeddings.separation(p, "node"))
 
 
-@register(f"WITH {POINTS} SELECT c AS community, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM pt GROUP BY 1")
+@register()
 def q_community_centroids(spark, d):
-    e = T.embeddings_ev(spark, d)
-    return embeddings.centroids(e.select(F.col("community").cast("int").alias("community"), F.col("normalized_embed")[0].alias("x"), F.col("normalized_embed")[1].alias("y")))
+    return _figures(spark, d, embeddings.centroids)
+
+
+@register()
+def q_community_contrast(spark, d):
+    return _figures(spark, d, embeddings.contrast)
+
+
+#: The same measures on points that SQL has as well: two components of the vectors, and the tables' own labels.
+POINTS = "pt AS (SELECT vec_id AS k, label AS c, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+
+
+def _points(spark, d):
+    return T.embeddings_ev(spark, d).select("item_id", F.col("community").cast("int").alias("community"), F.col("normalized_embed")[0].alias("x"), F.col("normalized_embed")[1].alias("y"))
+
+
+@register(f"""WITH {POINTS}, pr AS (SELECT p.k, p.c = q.c AS same, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM pt p JOIN pt q ON p.k <> q.k), e AS (SELECT k, avg(d) FILTER (same) AS s, avg(d) FILTER (NOT same) AS o FROM pr GROUP BY k)
+SELECT (SELECT count(*) FROM pt) AS n, round(avg(o) / avg(s), 6) AS ratio FROM e""")
+def q_separation_of_labels(spark, d):
+    return embeddings.separation(_points(spark, d))
+
+
+@register(f"WITH {POINTS} SELECT c AS community, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM pt GROUP BY 1")
+def q_centroids_of_labels(spark, d):
+    return embeddings.centroids(_points(spark, d))
+
+
+@register(f"""WITH {POINTS}, z AS (SELECT c, row_number() OVER (ORDER BY count(*), c) AS up, row_number() OVER (ORDER BY count(*) DESC, c) AS down FROM pt GROUP BY c),
+g AS (SELECT c, 'smallest' AS side FROM z WHERE up = 1 UNION ALL SELECT c, 'largest' FROM z WHERE down <= 2)
+SELECT side, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM pt JOIN g USING (c) GROUP BY 1""")
+def q_contrast_of_labels(spark, d):
+    return embeddings.contrast(_points(spark, d))
 
 
 @register()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.config import DEFAULT, Settings
-from cadenza.sources.tables import _file
+from cadenza.sources.tables import _file, changed
 
 
 def write_table(df: DataFrame, path: str) -> str:
@@ -17,8 +18,8 @@ def write_table(df: DataFrame, path: str) -> str:
 
 
 def cached(spark: SparkSession, folder: str, name: str, source: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """A table built once per source: its path has the source's path and size in it, so another source never finds it."""
-    key = hashlib.sha1(f"{source}|{_file(spark, source)}".encode()).hexdigest()[:12]
+    """A table built once per source: its path has the source's path, size and time of change in it, so another source never finds it, nor does a rewritten one."""
+    key = hashlib.sha1(f"{source}|{_file(spark, source)}|{changed(spark, source)}".encode()).hexdigest()[:12]
     path = f"{folder.rstrip('/')}/{name}-{key}.parquet"
     if force or _file(spark, f"{path}/_SUCCESS") is None:
         write_table(build(), path)
@@ -37,3 +38,15 @@ def guarded_size(df: DataFrame, what: str = "frame", settings: Settings = DEFAUL
     widths = {"long": 8, "bigint": 8, "double": 8, "int": 4, "float": 4, "smallint": 2, "boolean": 1}
     row = sum(widths.get(t, 32) for _, t in df.dtypes)
     return guarded(df, int(settings.frame_limit_gb * 1024**3 / max(row, 1)), what)
+
+
+@contextmanager
+def temp_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df``, kept in memory and on disk under ``name`` for SQL, while the block runs."""
+    kept = df.persist()
+    kept.createOrReplaceTempView(name)
+    try:
+        yield kept
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+        kept.unpersist()

@@ -33,6 +33,18 @@ def _file(spark: SparkSession, path: str) -> int | None:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else None
 
 
+def changed(spark: SparkSession, path: str) -> int | None:
+    """When ``path`` or the newest file below it was written (milliseconds), None if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    newest, files = fs.getFileStatus(p).getModificationTime(), fs.listFiles(p, True)
+    while files.hasNext():
+        newest = max(newest, files.next().getModificationTime())
+    return newest
+
+
 def find_table(spark: SparkSession, roots: Iterable[str], name: str, settings: Settings = DEFAULT) -> str:
     """Path of NAME.parquet under the first root that has it in more than ``least_file_bytes``."""
     tried = [f"{root.rstrip('/')}/{name}.parquet" for root in roots]
@@ -62,6 +74,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return conform(self.spark.read.parquet(self.path(name)), name)
 
+    def optional(self, name: str) -> DataFrame | None:
+        """A table whose analyses are left out where it is missing."""
+        try:
+            return self.read(name)
+        except FileNotFoundError:
+            return None
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)

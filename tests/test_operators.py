@@ -1,6 +1,7 @@
 """Boundaries of the analyses on small frames."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -133,6 +134,20 @@ def test_models(spark):
     assert all(r.auc > 0.99 for r in churn.auc(scored).collect()) and weights.count() == len(churn.FEATURES)
     assert all(r.f1 > 0.9 for r in churn.metrics(scored).collect())
     assert churn.split(feats).where("held_out").count() == 60
+    # by hand: every measure from the scores
+    for name in ("forest", "logistic"):
+        own = [(r.p, r.churn) for r in scored.where(F.col("model") == name).collect()]
+        pos, neg = [p for p, y in own if y], [p for p, y in own if not y]
+        auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+        assert churn.auc(scored).where(F.col("model") == name).first().auc == pytest.approx(auc)
+        for r in churn.metrics(scored).where(F.col("model") == name).collect():
+            tp = sum((p >= 0.5) == r["class"] == y for p, y in own)
+            found, there = sum((p >= 0.5) == r["class"] for p, _ in own), sum(y == r["class"] for _, y in own)
+            assert (r.precision, r.recall, r.support) == (pytest.approx(tp / found), pytest.approx(tp / there), there)
+        curve = {r.p: (r.fpr, r.tpr) for r in churn.roc_points(scored).where(F.col("model") == name).collect()}
+        assert curve == {p: (pytest.approx(sum(q >= p for q in neg) / len(neg)), pytest.approx(sum(q >= p for q in pos) / len(pos))) for p in {p for p, _ in own}}
+    top = churn.importances(weights).collect()
+    assert len(top) == 10 and [r.importance for r in top] == sorted((r.importance for r in weights.collect()), reverse=True)[:10]
     roc = churn.roc_points(scored).where("model = 'forest'").agg(F.max("fpr"), F.max("tpr")).first()
     assert roc[:] == (1.0, 1.0)
 
@@ -153,6 +168,11 @@ def test_graph(spark):
     assert len(set(dict(rows(graph.propagate(edges), "node", "community")).values())) == 2
     assert graph.spring_layout(edges).count() == 8
     assert graph.louvain(edges.where("false")).count() == 0
+    assert graph.shown(edges, 4).count() <= 6
+    with pytest.raises(OverflowError):
+        graph.shown(edges, 4, DEFAULT.__class__(edge_limit=5))
+    named = spark.createDataFrame([(3, "T1")], "node long, label string")
+    assert rows(graph.label_nodes(graph.strength(edges), named, 2), "node", "place", "label") == [(3, 1, "T1"), (4, 2, "#4")]
     with pytest.raises(OverflowError):
         sinks.guarded(edges, 3)
 
@@ -165,6 +185,30 @@ def test_embeddings(spark):
     assert embeddings.separation(p).first().ratio > 2
     assert embeddings.separation(p.where("item_id < 4")).first().ratio == 0.0
     assert embeddings.project(v, "item_id").count() == 3
+    parts, nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "node long, community int"), spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "node long, strength long")
+    assert embeddings.figure(None, "item_id", parts, nodes).count() == 0  # no vectors: left out
+    assert embeddings.figure(v, "item_id", parts, nodes).count() == 0  # too few
+    assert rows(embeddings.figure(v, "item_id", parts, nodes, least=3), "place", "item_id", "community") == [(1, 2, 0), (2, 1, 0), (3, 3, 1)]
+    assert rows(embeddings.contrast(p), "side", "n") == [("largest", 6), ("smallest", 3)]
+
+
+@pytest.mark.parametrize("few,parts", [(500_000, 500), (40, 7), (3, 4)])
+def test_quantiles_by_group(spark, few, parts):
+    r = np.random.default_rng(3)
+    data = [(1, float(x)) for x in r.normal(size=900)] + [(2, float(x)) for x in r.integers(0, 5, 700)] + [(None, 4.0), (3, None), (4, 1.0), (4, 2.0)] + [(5, 7.0)] * 200 + [(6, float(x)) for x in range(300)]
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {x.g: (x.n, x.q) for x in quantiles.by_group(spark.createDataFrame(data, "g int, v double"), ["g"], "v", qs, few, parts).collect()}
+    for g in (1, 2, None, 4, 5, 6):
+        own = [v for k, v in data if k == g]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(list(np.quantile(own, qs)))
+    assert set(got) == {1, 2, None, 4, 5, 6}
+
+
+def test_ranks_of_equal_counts(spark):
+    df = spark.range(5000).selectExpr("id * 3 AS item_id").union(spark.range(10).selectExpr("id * 300 AS item_id"))
+    got = {r.item_id: r.label for r in ranks.track_ranks(df).collect()}
+    order = sorted(range(0, 15000, 3), key=lambda i: (-(i % 300 == 0 and i < 3000), i))
+    assert got == {x: f"T{k + 1}" for k, x in enumerate(order)}
 
 
 def test_charts(spark):
@@ -201,6 +245,17 @@ def test_tables_and_subset(spark, tmp_path):
     for _ in range(2):
         assert sinks.cached(spark, f"{tmp_path}/cache", "x", f"{root}/listens.parquet", make).count() == 600
     assert len(built) == 1
+    os.utime(next((tmp_path / "raw" / "listens.parquet").glob("*.parquet")), (2e9, 2e9))  # a rewrite of equal size
+    sinks.cached(spark, f"{tmp_path}/cache", "x", f"{root}/listens.parquet", make)
+    assert len(built) == 2
+    assert t.optional("embeddings") is None and t.optional("listens").count() == 600
+    with sinks.temp_table(df, "kept_rows"):
+        assert spark.sql("select count(*) from kept_rows").first()[0] == 600
+    assert not spark.catalog.tableExists("kept_rows")
+    ids = tables.ids_relation(spark, [10, 20])
+    assert df.join(ids, "uid", "left_semi").count() == 60
+    assert cooccur.sampled(df, DEFAULT.__class__(listen_users=4)).select("uid").distinct().count() == 4
+    assert churn.capped(df, DEFAULT.__class__(churn_users=4)).select("uid").distinct().count() == 4
     assert subset.hash_sample(df, "uid", 3).select("uid").distinct().count() == 3
     assert sinks.guarded_size(df).count() == 600
 
@@ -208,6 +263,7 @@ def test_tables_and_subset(spark, tmp_path):
 def test_runner(spark):
     report = {r.task: r.status for r in runner.run(spark, "/nowhere", [2, 99]).collect()}
     assert report[99] == "unknown" and report[2] not in ("ok", "unknown")
+    assert all(x > 0 for x in runner.memory(spark))
 
 
 def test_restore_time(spark):
