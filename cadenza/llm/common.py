@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -82,8 +83,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer used: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round of collection lets go of, the second sees
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)  # files are deleted in the background
 
 
 def helper(df: DataFrame, name: str = "h") -> str:

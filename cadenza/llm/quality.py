@@ -27,20 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import shingles
 from cadenza.llm.common import discard, fits, helper, release, saved
-from cadenza.llm.neardup import _batches, _groups
+from cadenza.llm.neardup import _batches
+from cadenza.llm.packed import CELL, cells, each_key, floats, met, pack, steps, unpack
 
 FOLDS, FLOOR = 2, 0.1
 #: Words a task gathers before it sends them, bytes of text a shard stands for, texts numbered together.
 GATHER, SHARD, MANY = 4 << 20, 64 << 20, 1 << 16
 ENDS = np.uint64(0x5EED5EED5E)
 _K = np.uint64(0x9E3779B97F4A7C15)
-CELL = "key long, kind int, owner long, data binary"
 
 
 def word_ids(hashes: np.ndarray) -> np.ndarray:
@@ -48,13 +47,33 @@ def word_ids(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(([ENDS], hashes >> np.uint64(24)))
 
 
-def gram_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """48 bits for each bigram."""
-    return shingles.mix(v * _K + w) >> np.uint64(16)
+@dataclass(frozen=True)
+class Space:
+    """Ids of n-grams in 32 to 48 bits, and the shards they lie in. There are 2**12 times as many ids as words, so that hardly any unseen n-gram
+    (one of 4096 at most) passes for a seen one, whatever the size.
+    """
+
+    bits: int
+    shards: int
+
+    @classmethod
+    def of(cls, size: int) -> Space:
+        """For a corpus of ``size`` bytes, of which a word takes about six."""
+        return cls(min(48, max(32, (size // 6).bit_length() + 12)), max(1, -(-size // SHARD)))
+
+    def grams(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return shingles.mix(v * _K + w) >> np.uint64(64 - self.bits)
+
+    def words(self, w: np.ndarray) -> np.ndarray:
+        return shingles.mix((w + np.uint64(1)) * _K) >> np.uint64(64 - self.bits)
 
+    def shard(self, ids: np.ndarray) -> np.ndarray:
+        return ((ids >> np.uint64(self.bits - 32)) * np.uint64(self.shards)) >> np.uint64(32)
 
-def unigram_ids(w: np.ndarray) -> np.ndarray:
-    return shingles.mix((w + np.uint64(1)) * _K) >> np.uint64(16)
+    def cuts(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(shard, begin, end) of the shards that sorted ``ids`` are in."""
+        edge = np.searchsorted(self.shard(ids), np.arange(self.shards + 1, dtype=np.uint64)).tolist()
+        return [(s, i, j) for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i]
 
 
 def fold_of(hashes: np.ndarray) -> int:
@@ -66,61 +85,6 @@ def fold_of(hashes: np.ndarray) -> int:
     return int(shingles.mix(s).min() & np.uint64(1))
 
 
-def _cuts(ids: np.ndarray, shards: int) -> np.ndarray:
-    """Places in sorted ``ids`` where the shards 0, 1, ... begin, and the end."""
-    own = ((ids >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)
-    return np.searchsorted(own, np.arange(shards + 1, dtype=np.uint64))
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned integers (or float32) as compressed planes of bytes."""
-    parts = [struct.pack("<B", len(arrays))]
-    for a in arrays:
-        a = np.ascontiguousarray(a.view(np.uint32) if a.dtype == np.float32 else a).astype(np.uint64)
-        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
-        parts += [struct.pack("<IB", len(a), width), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 1, []
-    for _ in range(raw[0]):
-        n, width = struct.unpack_from("<IB", raw, at)
-        full = np.zeros((n, 8), np.uint8)
-        full[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 5).reshape(width, n).T
-        out.append(full.reshape(-1).view(np.uint64))
-        at += 5 + n * width
-    return out
-
-
-def steps(a: np.ndarray) -> np.ndarray:
-    """Differences of a sorted array; np.cumsum takes them back."""
-    return np.diff(a, prepend=np.uint64(0))
-
-
-def floats(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint32).view(np.float32)
-
-
-def _cells(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    key, kind, owner, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(owner, pa.int64()), pa.array(data, pa.binary())], names=["key", "kind", "owner", "data"])
-
-
-def _each(batches: Iterator[pa.RecordBatch], column: str = "key") -> Iterator[tuple[int, pa.Table]]:
-    """The rows of one key at a time."""
-    for t in _groups(batches, [column]):
-        key = t.column(column).to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            yield int(key[i]), t.slice(i, j - i)
-
-
-def _met(df: DataFrame, run, schema: str, by: str = "key") -> DataFrame:
-    """``run`` over rows that come by ``by`` and kind."""
-    return df.repartition(by).sortWithinPartitions(by, "kind").mapInArrow(run, schema)
-
-
 def _summed(ids: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct ids in order, and the counts of equal ones summed."""
     if not len(ids):
@@ -131,7 +95,7 @@ def _summed(ids: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (ids[first], *(np.add.reduceat(c[order], first) for c in counts))
 
 
-def _counted(trusted: DataFrame, shards: int) -> DataFrame:
+def _counted(trusted: DataFrame, space: Space) -> DataFrame:
     """key (fold * shards + shard), data: the bigrams (v, w, count) of all trusted texts, one row a key, and how many have the counts 1 to 4."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +105,15 @@ def _counted(trusted: DataFrame, shards: int) -> DataFrame:
             ring, out = np.concatenate(held[fold]), []
             held[fold].clear()
             v, w = ring, np.concatenate((ring[1:], [ENDS]))
-            g = gram_ids(v, w)
+            g = space.grams(v, w)
             order = np.argsort(g, kind="stable")
             g, v, w = g[order], v[order], w[order]
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
             n = np.diff(np.append(first, len(g))).astype(np.uint64)
             g, v, w = g[first], v[first], w[first]
-            edge = _cuts(g, shards).tolist()
-            for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                if j > i:
-                    o = np.lexsort((w[i:j], v[i:j]))
-                    out.append((fold * shards + s, 0, 0, pack(steps(v[i:j][o]), w[i:j][o], n[i:j][o])))
+            for s, i, j in space.cuts(g):
+                o = np.lexsort((w[i:j], v[i:j]))
+                out.append((fold * space.shards + s, 0, 0, pack(steps(v[i:j][o]), w[i:j][o], n[i:j][o])))
             return out
 
         size = [0] * FOLDS
@@ -162,13 +124,13 @@ def _counted(trusted: DataFrame, shards: int) -> DataFrame:
                 size[f] += len(h) + 1
                 if size[f] >= GATHER:
                     size[f] = 0
-                    yield _cells(rows(f))
+                    yield cells(rows(f))
         for f in range(FOLDS):
             if held[f]:
-                yield _cells(rows(f))
+                yield cells(rows(f))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _each(batches):
+        for key, t in each_key(batches):
             parts = [unpack(x) for x in t.column("data").to_pylist()]
             v, w, n = (np.concatenate(x) for x in zip(*((np.cumsum(v), w, n) for v, w, n in parts), strict=True))
             order = np.lexsort((w, v))
@@ -177,10 +139,10 @@ def _counted(trusted: DataFrame, shards: int) -> DataFrame:
             v, w, n = v[first], w[first], np.add.reduceat(n, first)
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(steps(v), w, n)], pa.binary()), *(pa.array([int((n == k).sum())]) for k in (1, 2, 3, 4))], names=["key", "data", "n1", "n2", "n3", "n4"])
 
-    return _met(trusted.select("text").mapInArrow(gather, CELL), merge, "key long, data binary, n1 long, n2 long, n3 long, n4 long")
+    return met(trusted.select("text").mapInArrow(gather, CELL), merge, "key long, data binary, n1 long, n2 long, n3 long, n4 long")
 
 
-def _words(counted: DataFrame, shards: int) -> DataFrame:
+def _words(counted: DataFrame, space: Space) -> DataFrame:
     """key, data: of the words of a shard their count, bigrams of count 1, 2 and more that they begin, and words before them; sums for the discounts."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,24 +153,22 @@ def _words(counted: DataFrame, shards: int) -> DataFrame:
                 zero = np.zeros(len(w), np.uint64)
                 is_ = lambda c: c.astype(np.uint64)
                 word, *counts = _summed(np.concatenate((v, w)), *(np.concatenate(x) for x in ((n, zero), (is_(n == 1), zero), (is_(n == 2), zero), (is_(n > 2), zero), (zero, one))))
-                ids = unigram_ids(word)
-                order = np.argsort(ids, kind="stable")
-                edge, fold, out = _cuts(ids[order], shards).tolist(), key // shards, []
-                for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                    if j > i:
-                        o = np.sort(order[i:j])
-                        out.append((fold * shards + s, 0, key, pack(steps(word[o]), *(c[o] for c in counts))))
-                yield _cells(out)
+                ids, base = space.words(word), key // space.shards * space.shards
+                order, out = np.argsort(ids, kind="stable"), []
+                for s, i, j in space.cuts(ids[order]):
+                    o = np.sort(order[i:j])
+                    out.append((base + s, 0, key, pack(steps(word[o]), *(c[o] for c in counts))))
+                yield cells(out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _each(batches):
+        for key, t in each_key(batches):
             parts = [unpack(x) for x in t.column("data").to_pylist()]
             word, *counts = _summed(*map(np.concatenate, zip(*((np.cumsum(x[0]), *x[1:]) for x in parts), strict=True)))
             before = counts[-1]
             sums = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum()), len(word), int(before.sum())]
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(steps(word), *counts)], pa.binary()), *(pa.array([x]) for x in sums)], names=["key", "data", "n1", "n2", "n3", "n4", "more", "types", "total"])
 
-    return _met(counted.select("key", "data").mapInArrow(part, CELL), merge, "key long, data binary, n1 long, n2 long, n3 long, n4 long, more long, types long, total long")
+    return met(counted.select("key", "data").mapInArrow(part, CELL), merge, "key long, data binary, n1 long, n2 long, n3 long, n4 long, more long, types long, total long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -240,9 +200,9 @@ class Sums:
         return (before - _taken(before, self.word)) / max(self.total, 1) + self.rest
 
 
-def _sums(counted: DataFrame, words: DataFrame, shards: int) -> list[Sums]:
+def _sums(counted: DataFrame, words: DataFrame, space: Space) -> list[Sums]:
     """A few numbers for each fold reach the driver."""
-    fold = (F.col("key") / shards).cast("int")
+    fold = (F.col("key") / space.shards).cast("int")
     add = lambda df, names: {r.f: r for r in df.groupBy(fold.alias("f")).agg(*[F.sum(c).alias(c) for c in names]).collect()}
     pairs, singles, out = add(counted, ["n1", "n2", "n3", "n4"]), add(words, ["n1", "n2", "n3", "n4", "more", "types", "total"]), []
     for f in range(FOLDS):
@@ -256,7 +216,7 @@ def _sums(counted: DataFrame, words: DataFrame, shards: int) -> list[Sums]:
     return out
 
 
-def _values(counted: DataFrame, words: DataFrame, sums: list[Sums], shards: int) -> DataFrame:
+def _values(counted: DataFrame, words: DataFrame, sums: list[Sums], space: Space) -> DataFrame:
     """key, kind, owner, data: ids and values (float32) of the n-grams of each shard."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,54 +224,53 @@ def _values(counted: DataFrame, words: DataFrame, sums: list[Sums], shards: int)
             for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
                 v, w, _ = unpack(data)
                 word = np.unique(np.concatenate((np.cumsum(v), w)))
-                ids = unigram_ids(word)
+                ids, base = space.words(word), key // space.shards * space.shards
                 order = np.argsort(ids, kind="stable")
-                edge = _cuts(ids[order], shards).tolist()
-                yield _cells([(key // shards * shards + s, 1, key, pack(steps(np.sort(word[order[i:j]])))) for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
+                yield cells([(base + s, 1, key, pack(steps(np.sort(word[order[i:j]])))) for s, i, j in space.cuts(ids[order])])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _each(batches):
+        for key, t in each_key(batches):
             own, *asked = zip(t.column("owner").to_pylist(), t.column("data").to_pylist(), strict=True)
             word, _, one, two, more, before = unpack(own[1])
-            word, s = np.cumsum(word), sums[key // shards]
+            word, s = np.cumsum(word), sums[key // space.shards]
             cut, p = s.cut(one, two, more).astype(np.float32), s.p(before).astype(np.float32)
             for owner, data in asked:
                 q = np.cumsum(unpack(data)[0])
                 at = np.searchsorted(word, q)
-                yield _cells([(owner, 1, key, pack(steps(q), cut[at], p[at]))])
+                yield cells([(owner, 1, key, pack(steps(q), cut[at], p[at]))])
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _each(batches):
+        for key, t in each_key(batches):
             own, *told = t.column("data").to_pylist()
             v, w, n = unpack(own)
-            v, s = np.cumsum(v), sums[key // shards]
+            v, s = np.cumsum(v), sums[key // space.shards]
             parts = [(np.cumsum(q), floats(c), floats(p)) for q, c, p in map(unpack, told)]
             word, cut, p = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(word)
             word, cut, p = word[order], cut[order].astype(float), p[order].astype(float)
             gain = np.log2(1 + (n - _taken(n, s.pair)) / (cut[np.searchsorted(word, v)] * p[np.searchsorted(word, w)]))
-            ids = gram_ids(v, w)
+            ids = space.grams(v, w)
             order = np.argsort(ids)
-            yield _cells([(key, 0, 0, pack(steps(ids[order]), gain[order].astype(np.float32)))])
+            yield cells([(key, 0, 0, pack(steps(ids[order]), gain[order].astype(np.float32)))])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches, 1):
             for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
                 word, c, one, two, more, before = unpack(data)
-                s = sums[key // shards]
+                s = sums[key // space.shards]
                 gain = np.log2(s.cut(one, two, more) / c * s.p(before) / s.rest)
-                ids = unigram_ids(np.cumsum(word))
+                ids = space.words(np.cumsum(word))
                 order = np.argsort(ids)
                 # values may be negative: their bits go as they are
-                yield _cells([(key, 0, 0, pack(steps(ids[order]), gain[order].astype(np.float32)))])
+                yield cells([(key, 0, 0, pack(steps(ids[order]), gain[order].astype(np.float32)))])
 
     row = lambda df: df.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("owner"), "data")
     asked = counted.select("key", "data").mapInArrow(ask, CELL)
-    told = _met(row(words).union(asked), answer, CELL)
-    return _met(row(counted).union(told), value, CELL).union(words.select("key", "data").mapInArrow(single, CELL))
+    told = met(row(words).union(asked), answer, CELL)
+    return met(row(counted).union(told), value, CELL).union(words.select("key", "data").mapInArrow(single, CELL))
 
 
-def _asked(docs: DataFrame, shards: int, rounds: int, turn: int) -> DataFrame:
+def _asked(docs: DataFrame, space: Space, rounds: int, turn: int) -> DataFrame:
     """For the shards of a round: n-grams of some texts with the texts' numbers (kind 1), and who these texts are (kind 2).
 
     ``docs``: a, b (128 bits that tell the row), text.
@@ -327,27 +286,23 @@ def _asked(docs: DataFrame, shards: int, rounds: int, turn: int) -> DataFrame:
             a, b = (np.array([x[i] for x in own], np.int64).view(np.uint64) for i in (0, 1))
             n = np.array([len(x[2]) for x in own], np.uint64)
             name = struct.unpack("<q", hashlib.blake2b(a.tobytes() + b.tobytes() + bytes([fold]), digest_size=8).digest())[0]
-            base = (FOLDS - 1 - fold) * shards  # the model of the other fold
-            mine = [s for s in range(shards) if s % rounds == turn]
+            base = (FOLDS - 1 - fold) * space.shards  # the model of the other fold
+            mine = [s for s in range(space.shards) if s % rounds == turn]
             out = [(base + mine[name % len(mine)], 2, name, pack(a, b, n, np.array([fold], np.uint64)))]
             ring = np.concatenate([x[2] for x in own])
             who = np.repeat(np.arange(len(own), dtype=np.uint64), n.astype(np.int64))
-            ids = np.concatenate((unigram_ids(ring), gram_ids(ring, np.concatenate((ring[1:], [ENDS])))))
+            ids = np.concatenate((space.words(ring), space.grams(ring, np.concatenate((ring[1:], [ENDS])))))
+            both = (ids << np.uint64(16)) | np.concatenate((who, who))
             if rounds > 1:
-                keep = (((ids >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)) % np.uint64(rounds) == turn
-                both = ((ids << np.uint64(16)) | np.concatenate((who, who)))[keep]
-            else:
-                both = (ids << np.uint64(16)) | np.concatenate((who, who))
+                both = both[space.shard(ids) % np.uint64(rounds) == turn]
             both, count = np.unique(both, return_counts=True)
             ids, who = both >> np.uint64(16), both & np.uint64(MANY - 1)
-            edge = _cuts(ids, shards).tolist()
-            for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                if j > i:
-                    x, d = ids[i:j], who[i:j]
-                    new = np.concatenate(([True], x[1:] != x[:-1]))
-                    first = np.flatnonzero(new)
-                    d = np.where(new, d, np.diff(d, prepend=np.uint64(0)))
-                    out.append((base + s, 1, name, pack(steps(x[first]), np.diff(np.append(first, j - i)), d, count[i:j])))
+            for s, i, j in space.cuts(ids):
+                x, d = ids[i:j], who[i:j]
+                new = np.concatenate(([True], x[1:] != x[:-1]))
+                first = np.flatnonzero(new)
+                d = np.where(new, d, np.diff(d, prepend=np.uint64(0)))
+                out.append((base + s, 1, name, pack(steps(x[first]), np.diff(np.append(first, j - i)), d, count[i:j])))
             return out
 
         for batch in _batches(batches, 256):
@@ -356,10 +311,10 @@ def _asked(docs: DataFrame, shards: int, rounds: int, turn: int) -> DataFrame:
                 held[f].append((a, b, word_ids(h)))
                 size[f] += len(h) + 1
                 if size[f] >= GATHER or len(held[f]) >= MANY:
-                    yield _cells(rows(f))
+                    yield cells(rows(f))
         for f in range(FOLDS):
             if held[f]:
-                yield _cells(rows(f))
+                yield cells(rows(f))
 
     return docs.mapInArrow(run, CELL)
 
@@ -379,7 +334,7 @@ def _told(asked: DataFrame, values: DataFrame) -> DataFrame:
             return out
 
         size = 0
-        for _, t in _each(batches):
+        for _, t in each_key(batches):
             kinds = t.column("kind").to_pylist()
             ids, gain = np.empty(0, np.uint64), np.empty(0)
             for kind, name, data in zip(kinds, t.column("owner").to_pylist(), t.column("data").to_pylist(), strict=True):
@@ -389,7 +344,7 @@ def _told(asked: DataFrame, values: DataFrame) -> DataFrame:
                     order = np.argsort(ids, kind="stable")
                     ids, gain = ids[order], gain[order]
                 elif kind == 2:
-                    yield _cells([(0, 0, name, data)])
+                    yield cells([(0, 0, name, data)])
                 elif len(ids):
                     x, docs, d, count = unpack(data)
                     x = np.cumsum(x)
@@ -410,11 +365,11 @@ def _told(asked: DataFrame, values: DataFrame) -> DataFrame:
                     have[: len(add)] += add
                     if size > 1 << 21:
                         size = 0
-                        yield _cells(rows())
-        yield _cells(rows())
+                        yield cells(rows())
+        yield cells(rows())
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _each(batches, "owner"):
+        for _, t in each_key(batches, "owner"):
             data = t.column("data").to_pylist()
             a, b, n, fold = unpack(data[0])
             bits = np.zeros(len(a))
@@ -426,36 +381,36 @@ def _told(asked: DataFrame, values: DataFrame) -> DataFrame:
             bits /= kinds.count(0)  # equal rows in equal order, gathered twice, have one name
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), int(fold[0])), pa.int32()), pa.array(n.astype(np.int64)), pa.array(bits)], names=["a", "b", "fold", "n", "bits"])
 
-    met = _met(values.union(asked), answer, CELL)
-    return _met(met, total, "a long, b long, fold int, n long, bits double", "owner")
+    answered = met(values.union(asked), answer, CELL)
+    return met(answered, total, "a long, b long, fold int, n long, bits double", "owner")
 
 
 def _keys(text: str = "text"):
     return F.xxhash64("doc_id", text).alias("a"), F.xxhash64(F.lit(1), text, "doc_id").alias("b")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, rounds: int = 2) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, rounds: int = 3) -> DataFrame:
     """a, b, fold, perplexity: of each row of ``docs`` (doc_id, text) under the model of the other fold's ``trusted`` texts (text).
 
     a and b, 128 bits of hash of doc_id and text, tell the row; repeated rows come once. Null texts count as empty; of an empty text the end is scored.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
-    rounds = min(rounds, shards)
-    counted = saved(_counted(trusted.where("text is not null"), shards), "bigrams")
+    space = Space.of(size)
+    rounds = min(rounds, space.shards)
+    counted = saved(_counted(trusted.where("text is not null"), space), "bigrams")
     release(spark)
-    words = saved(_words(counted, shards), "words")
-    sums = _sums(counted, words, shards)
-    values = saved(_values(counted, words, sums, shards), "values")
+    words = saved(_words(counted, space), "words")
+    sums = _sums(counted, words, space)
+    values = saved(_values(counted, words, sums, space), "values")
     discard(counted)
     discard(words)
     release(spark)
     keyed = docs.select(*_keys(), "text")
     out = None
     for turn in range(rounds):
-        mine = values.where(F.col("key") % shards % rounds == turn)
-        part = saved(_told(_asked(keyed, shards, rounds, turn), mine).withColumn("turn", F.lit(turn)), "sums")
+        mine = values.where(F.col("key") % space.shards % rounds == turn)
+        part = saved(_told(_asked(keyed, space, rounds, turn), mine).withColumn("turn", F.lit(turn)), "sums")
         release(spark)
         out = part if out is None else out.union(part)
     each = out.groupBy("a", "b", "turn").agg(F.max("fold").alias("fold"), F.max("n").alias("n"), F.max("bits").alias("bits"))
@@ -466,7 +421,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, rounds: int = 2) -> DataFr
     return made
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", quantile: float = 0.995, margin: float = 1.05, least: int = 30, rounds: int = 2) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", quantile: float = 0.995, margin: float = 1.05, least: int = 30, rounds: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) with perplexity, threshold and kept.
 
     Trusted are the documents that ``labels`` marks 1 (one of several labels suffices). The threshold is ``margin`` times the ``quantile`` of the perplexities
