@@ -113,30 +113,36 @@ def first_graph(reps: DataFrame, n: int, k: int, draws: int, seed: int = 5) -> D
 
 
 def shorten(edges: DataFrame, k: int) -> DataFrame:
-    """The k best entries of each list: a, b, s, last (similarity of the entry at place k, -2 of shorter lists)."""
+    """The k best entries of each list: a, b, s, fresh, last (similarity of the entry at place k, -2 of shorter lists).
+
+    ``edges``: a, b, s, fresh (0 for entries of the lists before, 1 for found ones; an entry that was there before isn't fresh).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["a"]):
-            a, b, s = (t.column(c).to_numpy() for c in ("a", "b", "s"))
-            order = np.lexsort((b, -s, a))
-            a, b, s = a[order], b[order], s[order]
+            a, b, s, fresh = (t.column(c).to_numpy() for c in ("a", "b", "s", "fresh"))
+            order = np.lexsort((fresh, b, a))  # a pair's similarity may differ in the last digits from task to task
+            a, b, s, fresh = a[order], b[order], s[order], fresh[order]
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            a, b, s = a[new], b[new], s[new]
+            a, b, s, fresh = a[new], b[new], s[new], fresh[new]
+            order = np.lexsort((b, -s, a))
+            a, b, s, fresh = a[order], b[order], s[order], fresh[order]
             first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
             size = np.diff(np.append(first, len(a)))
             place = np.arange(len(a)) - np.repeat(first, size)
             last = np.full(len(first), -2.0)
             last[size >= k] = s[first[size >= k] + k - 1]
             keep = place < k
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[keep], b[keep], s[keep], np.repeat(last, size)[keep])], names=["a", "b", "s", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[keep], b[keep], s[keep], fresh[keep], np.repeat(last, size)[keep])], names=["a", "b", "s", "fresh", "last"])
 
-    rows = edges.repartition("a").sortWithinPartitions("a", F.desc("s"), "b")
-    return rows.mapInArrow(run, "a long, b long, s double, last double")
+    rows = edges.select("a", "b", "s", "fresh").repartition("a").sortWithinPartitions("a")
+    return rows.mapInArrow(run, "a long, b long, s double, fresh int, last double")
 
 
 def descend(graph: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """One round: a, b, s of the pairs of neighbours of a vector that are nearer than the last entry of either list."""
-    both = graph.select(F.col("a").alias("hub"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
+    both = graph.select(F.col("a").alias("hub"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("hub"), F.col("a").alias("id")))
+    both = both.repartition("hub").distinct()  # this deal serves the count and its join as well
     # a vector that is everyone's neighbour has its gatherings dealt to parts, chosen by hash, of about 4 k members
     size = both.groupBy("hub").agg(F.ceil(F.count("*") / (4 * k)).cast("int").alias("parts")).where("parts > 1")
     both = both.join(size, "hub", "left").select("hub", "id", F.pmod(F.xxhash64("id", "hub"), F.coalesce("parts", F.lit(1))).cast("long").alias("part"))
@@ -335,37 +341,39 @@ def _settled(graph: DataFrame, reps: DataFrame, by_v: DataFrame, threshold: floa
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 12, draws: int = 8, recall: float = 0.99, rounds: int = 6, sample: int = 400, doublings: int = 2) -> DataFrame:
-    """A row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
+    """A row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept, recall (what the audit measured, the same in every row; 1 after the exact comparison).
 
     Null, zero and non-finite vectors, those with null components and rows without vec_id link with nothing and are kept; vectors of
     different lengths don't link. Equal vectors link with each other, rows of one vec_id count as different vectors. Ties go to the
     smallest id. An empty table gives an empty result; labels and other columns are neither used nor returned.
     """
-    rows = saved(readable(vectors).withColumn("id", F.xxhash64("v")), "vectors")
-    valid = rows.where("v is not null")
-    # classes of equal vectors go by a hash of 64 bits, their bytes decide
-    by_v = saved(valid.groupBy("id", "v", "dim").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")), "classes")
-    if not by_v.groupBy("id").count().where("count > 1").isEmpty():
-        raise ValueError("two vectors have one hash")
+    read = saved(readable(vectors), "vectors")
+    seed = 0
+    while True:  # classes of equal vectors go by a hash of 64 bits, their bytes decide; another hash if two have the same
+        rows = read.withColumn("id", F.xxhash64(F.lit(seed), "v"))
+        valid = rows.where("v is not null")
+        by_v = saved(valid.groupBy("id", "v", "dim").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")), "classes")
+        if by_v.groupBy("id").count().where("count > 1").isEmpty():
+            break
+        seed += 1
     reps = by_v.select("id", "dim", "v")
     n = reps.count()
 
-    graph, width = cut(shorten(first_graph(reps, n, k, draws), k)), k
+    state = lambda df, fresh: df.select("a", "b", "s", F.lit(fresh).alias("fresh"))
+    graph, width = cut(shorten(state(first_graph(reps, n, k, draws), 1), k)), k
     for again in range(doublings + 1):
         for _ in range(rounds):
-            found = cut(descend(graph, reps, width).join(graph, ["a", "b"], "left_anti"))
-            better = found.count()
-            if better:
-                graph = cut(shorten(graph.select("a", "b", "s").union(found), width))
-            if better <= 0.02 * n * width:
+            graph = cut(shorten(state(graph, 0).union(state(descend(graph, reps, width), 1)), width))
+            if graph.where("fresh = 1").count() <= 0.01 * n * width:
                 break
         links, comp, inside = _settled(graph, reps, by_v, threshold)
-        good = audit(links, comp, inside, reps, threshold, sample) >= recall
+        measured = audit(links, comp, inside, reps, threshold, sample)
+        good = measured >= recall
         if good:
             break
         if again < doublings:
             width *= 2
-            graph = cut(shorten(graph.select("a", "b", "s"), width))  # the last entry at the new width
+            graph = cut(shorten(state(graph, 0), width))  # the last entry at the new width
 
     if good:
         enlarged = _meet(inside, reps, threshold).groupBy("id").agg(F.sum("links").alias("links"))
@@ -374,11 +382,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 12, draws
         counted = plain.join(inside.select("id"), "id", "left_anti").union(enlarged)
     else:
         met = saved(_meet(by_v.select(F.col("dim").cast("long").alias("component_id"), "id", "copies"), reps, threshold, roots=True), "met")
-        comp = cut(components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "id")
+        comp, measured = cut(components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "id"), 1.0
         counted = met.groupBy("id").agg(F.sum("links").alias("links"))
     told = by_v.select("id", "low", "copies").join(comp, "id", "left").join(counted, "id", "left").select("id", "low", F.col("component_id").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     lowest = told.where("comp is not null").groupBy("comp").agg(F.min("low").alias("lowest"))
     told = saved(told.join(lowest, "comp", "left").select("id", "n_links", F.coalesce("lowest", "low").alias("component_id")), "told")
     good = valid.select("vec_id", "id").join(told, "id").select("vec_id", "n_links", "component_id")
     out = good.union(rows.where("v is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(float(measured)))

@@ -364,7 +364,10 @@ def mark_revisits(records: DataFrame, key: str = "key", least: int = 1000) -> Da
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Archive ``records``: record_id, record_type, target_uri, date, payload_digest, refers_to, payload. No rows, no archive."""
+    """Archive ``records``: record_id, record_type, target_uri, date, payload_digest, refers_to, payload; other columns are left out, so their names can't clash.
+
+    Files are added to those in ``path``. No rows, no archive. Nulls leave out their header (a null payload is an empty one); repeated rows are records of their own.
+    """
     register(records.sparkSession)
     records.select("record_id", "record_type", "target_uri", "date", "payload_digest", "refers_to", "payload").write.format("warc").mode("append").save(path)
 
@@ -384,7 +387,10 @@ def archive_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: responses from the payloads read back, revisits from their headers."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: responses from the payloads read back, revisits from their headers.
+
+    A row for each record of the archives, repeated ones as well; page_id is null where the record had none; an empty folder gives an empty result.
+    """
     number = lambda c: F.nullif(F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1), F.lit("")).cast("long")
     full = read(spark, path, "record_id string, record_type string, payload binary").where("record_type = 'response'")
     full = full.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
