@@ -105,15 +105,18 @@ def _counted(trusted: DataFrame, space: Space) -> DataFrame:
             ring, out = np.concatenate(held[fold]), []
             held[fold].clear()
             v, w = ring, np.concatenate((ring[1:], [ENDS]))
-            g = space.grams(v, w)
-            order = np.argsort(g, kind="stable")
-            g, v, w = g[order], v[order], w[order]
-            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            n = np.diff(np.append(first, len(g))).astype(np.uint64)
-            g, v, w = g[first], v[first], w[first]
-            for s, i, j in space.cuts(g):
-                o = np.lexsort((w[i:j], v[i:j]))
-                out.append((fold * space.shards + s, 0, 0, pack(steps(v[i:j][o]), w[i:j][o], n[i:j][o])))
+            order = np.lexsort((w, v))  # pairs are told apart in full, ids only say where they go
+            v, w = v[order], w[order]
+            first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+            n = np.diff(np.append(first, len(v))).astype(np.uint64)
+            v, w = v[first], w[first]
+            own = space.shard(space.grams(v, w))
+            order = np.argsort(own, kind="stable")
+            edge = np.searchsorted(own[order], np.arange(space.shards + 1, dtype=np.uint64)).tolist()
+            for s, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if j > i:
+                    o = order[i:j]  # still in order of the pairs
+                    out.append((fold * space.shards + s, 0, 0, pack(steps(v[o]), w[o], n[o])))
             return out
 
         size = [0] * FOLDS

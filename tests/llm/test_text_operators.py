@@ -627,6 +627,19 @@ def test_kneser_ney(spark, monkeypatch, shard, gather, rounds):
     assert len(got) == 97 and all(abs(got[i] / want[i] - 1) < 1e-5 for i in range(97))
 
 
+def test_ids_that_collide(spark, monkeypatch):
+    """With far too few ids n-grams are taken for others, but no count is lost and nothing ends without a number."""
+    monkeypatch.setattr(quality.Space, "of", classmethod(lambda cls, size: cls(32, 3)))
+    monkeypatch.setattr(quality.Space, "grams", lambda self, v, w: (shingles.mix(v + w) & np.uint64(63)) << np.uint64(26))
+    texts = [" ".join(words(40, i, 60)) for i in range(60)]
+    df = docs_frame(spark, texts)
+    counted = quality._counted(df.select("text"), quality.Space.of(1)).select("data").collect()
+    total = sum(int(quality.unpack(r.data)[2].sum()) for r in counted)
+    assert total == 60 * 41
+    got = quality.perplexities(df.select("doc_id", "text"), df.select("text")).collect()
+    assert len(got) == 60 and all(math.isfinite(r.perplexity) and r.perplexity > 0 for r in got)
+
+
 def test_packed():
     r = np.random.default_rng(1)
     for n in (0, 1, 1000):
