@@ -255,6 +255,36 @@ def test_evidence():
         assert abs(p - 1 / (1 + math.exp(-(b + sum(u * v for u, v in zip(weights, want, strict=True)))))) < 1e-9
 
 
+def test_logistic_stays_finite():
+    """Classes that part nearly without exception, as terms do in large tables: full Newton steps run away, and everything or nothing would be toxic."""
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        n = 20_000
+        y = (r.random(n) < 0.1).astype(float)
+        x = np.zeros((n, 6))
+        x[:, 0] = y * np.log1p(9 * r.integers(1, 6, n)) + (r.random(n) < 0.001) * 2
+        x[:, 1:] = (r.random((n, 5)) < 0.01 + 0.3 * y[:, None]) * r.exponential(2, (n, 5))
+        x[r.random(n) < 0.02 * y] = 0
+        w = toxicity._logistic(x, y, np.ones(n))
+        p = 1 / (1 + np.exp(-(w[0] + x @ np.array(w[1:]))))
+        assert max(map(abs, w)) < 50 and (p[y == 0] < 0.5).mean() > 0.99 and (p[y == 1] > 0.5).mean() > 0.9
+
+
+def test_strong_term_below_a_weak_beginning(spark):
+    """A beginning that hardly tells (three times the share of all) must not stand for the term that tells for sure."""
+    r = random.Random(13)
+    texts, labels = [], []
+    for i in range(4000):
+        bad = i % 10 == 0
+        w = words(30, i, 3000) + (["loszer"] if bad and i % 20 == 0 else ["q" + str(i)] if not bad else [])
+        if r.random() < (0.5 if bad else 0.035):
+            w.append(r.choice(["losa", "losb", "losc", "losd"]))
+        texts.append(" ".join(w))
+        labels.append((i, int(bad)))
+    model = toxicity.fit(docs_frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(t.startswith("losz") for t in model.terms) and "los*" not in model.terms, model.terms
+
+
 def test_terms_beyond_the_fuzzy_ones(spark):
     """Each of 90 terms counts, the weakest as they are spelled; labels that contradict each other give one model."""
     names = ["q" + "".join(chr(97 + int(c)) for c in f"{i * 7919 % 1000:03}") + "zorb" for i in range(90)]
