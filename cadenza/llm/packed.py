@@ -23,7 +23,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a.view(np.uint32) if a.dtype == np.float32 else a).astype(np.uint64)
         width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
         parts += [struct.pack("<IB", len(a), width), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -75,7 +75,7 @@ def unpack_pair(data: bytes) -> tuple[bytes, bytes]:
 
 
 def pack_strings(strings: list[bytes]) -> bytes:
-    return pack_pair(pack(np.array([len(x) for x in strings], np.uint64)), zstandard.ZstdCompressor(level=1).compress(b"".join(strings)))
+    return pack_pair(pack(np.array([len(x) for x in strings], np.uint64)), zstandard.ZstdCompressor(level=6).compress(b"".join(strings)))
 
 
 def unpack_strings(data: bytes) -> list[bytes]:

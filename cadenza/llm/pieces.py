@@ -81,7 +81,7 @@ class Codec:
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*").findall
 #: Bytes of text that a task gathers, and that a shard of words stands for.
-GATHER, SHARD = 16 << 20, 8 << 20
+GATHER, SHARD = 32 << 20, 8 << 20
 
 
 def _gathered(docs: DataFrame, model, text: str, rest: list[str], shards: int) -> DataFrame:
