@@ -4,7 +4,8 @@
 2. The graph begins with the nearest of those with equal signs under random hyperplanes, over several draws. Buckets are
    cut to runs of at most ``BLOCK`` vectors, ordered by further signs.
 3. Descent: every vector gathers its neighbours and those that have it as neighbour, and compares them with each other;
-   pairs that improve a list replace its last entries. Rounds go on until few entries change.
+   pairs that improve a list replace its last entries. Rounds go on until few entries change, or none that is a link; the audit
+   then tells whether that was enough.
 4. A list whose last entry still reaches the threshold is saturated: it may end before its links do. Blocks of such
    components that can be linked (by centre and radius) are compared, and linked components become one. Lists of the
    component such a vector is in are then enlarged to the whole component, whose vectors meet in pairs of blocks.
@@ -364,7 +365,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 12, draws
     for again in range(doublings + 1):
         for _ in range(rounds):
             graph = cut(shorten(state(graph, 0).union(state(descend(graph, reps, width), 1)), width))
-            if graph.where("fresh = 1").count() <= 0.01 * n * width:
+            fresh = graph.where("fresh = 1").agg(F.count("*").alias("all"), F.count_if(F.col("s") >= threshold).alias("links")).first()
+            if fresh["all"] <= 0.01 * n * width or not fresh["links"]:
                 break
         links, comp, inside = _settled(graph, reps, by_v, threshold)
         measured = audit(links, comp, inside, reps, threshold, sample)
