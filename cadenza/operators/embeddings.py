@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import manifold
 from cadenza.sources.sinks import guarded
 
 
@@ -24,15 +27,15 @@ def artist_mean(vectors: DataFrame, artist_map: DataFrame, vector: str = "normal
 
 
 def project(vectors: DataFrame, key: str, vector: str = "normalized_embed") -> DataFrame:
-    """``key``, x, y: the first two principal components of vectors of length one. Stands for a manifold projection, which Spark lacks."""
+    """``key``, x, y: the first two principal components of vectors of length one, for any number of them."""
     v = vectors.select(key, array_to_vector(F.col(vector)).alias("raw"))
     v = Normalizer(inputCol="raw", outputCol="unit").transform(v)
     out = PCA(k=2, inputCol="unit", outputCol="two").fit(v).transform(v)
     return out.select(key, vector_to_array("two").alias("two")).select(key, F.col("two")[0].alias("x"), F.col("two")[1].alias("y"))
 
 
-def figure(vectors: DataFrame | None, key: str, parts: DataFrame, nodes: DataFrame, least: int = 5, vector: str = "normalized_embed") -> DataFrame:
-    """``key``, community, x, y, place (by strength): the projection of the shown nodes that have a vector.
+def figure(vectors: DataFrame | None, key: str, parts: DataFrame, nodes: DataFrame, least: int = 5, vector: str = "normalized_embed", method: Callable[..., DataFrame] = manifold.project) -> DataFrame:
+    """``key``, community, x, y, place (by strength): the projection of the shown nodes that have a vector, by ``method`` (the manifold's, or project() for principal components).
 
     Empty without vectors (the stage is left out) and below ``least`` points. ``parts``: node, community; ``nodes``: node, strength.
     """
@@ -45,7 +48,7 @@ def figure(vectors: DataFrame | None, key: str, parts: DataFrame, nodes: DataFra
         return spark.createDataFrame([], schema)
     by = F.row_number().over(Window.orderBy(F.desc("strength"), key))  # of a few hundred nodes
     told = parts.join(nodes.select("node", "strength"), "node", "left").withColumnRenamed("node", key)
-    return project(own, key, vector).join(told, key).select(F.col(key).cast("long"), F.col("community").cast("int"), "x", "y", by.alias("place"))
+    return method(own, key, vector).join(told, key).select(F.col(key).cast("long"), F.col("community").cast("int"), "x", "y", by.alias("place"))
 
 
 def contrast(points: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import DEFAULT
 from cadenza.functions import columns, quantiles
-from cadenza.operators import charts, churn, cooccur, diversity, embeddings, graph, heatmap, monthly, ranks, sessions, subset
+from cadenza.operators import charts, churn, cooccur, diversity, embeddings, graph, heatmap, manifold, monthly, ranks, sessions, subset
 from cadenza.plans import runner
 from cadenza.sources import sinks, tables
 from cadenza.streaming import live
@@ -192,6 +192,27 @@ def test_embeddings(spark):
     assert rows(embeddings.contrast(p), "side", "n") == [("largest", 6), ("smallest", 3)]
 
 
+def test_manifold(spark):
+    a, b = manifold.falloff(0.1)
+    assert a == pytest.approx(1.577, abs=0.01) and b == pytest.approx(0.895, abs=0.01)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(4, 32))
+    x = np.concatenate([c + r.normal(size=(30, 32)) * 0.25 for c in centres])
+    own = np.repeat(range(4), 30)
+    w = manifold.fuzzy(np.where(np.eye(120, dtype=bool), np.inf, np.linalg.norm(x[:, None] - x[None], axis=2)), 10)
+    assert np.allclose(w, w.T) and w.min() >= 0 and w.max() <= 1 + 1e-12 and np.allclose(np.diag(w), 0)
+    y = manifold.layout(x)
+    assert np.array_equal(y, manifold.layout(x))
+    d = np.linalg.norm(y[:, None] - y[None], axis=2) + np.where(np.eye(120, dtype=bool), np.inf, 0)
+    assert (own[d.argmin(axis=1)] == own).all()  # the nearest in the plane is of the same cluster
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "item_id long, normalized_embed array<double>")
+    points = manifold.project(df, "item_id").join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(own)], "item_id long, community int"), "item_id")
+    assert embeddings.separation(points).first().ratio > 3
+    with pytest.raises(OverflowError):
+        manifold.project(df, "item_id", limit=100)
+    assert manifold.project(df.limit(2), "item_id").count() == 0
+
+
 @pytest.mark.parametrize("few,parts", [(500_000, 500), (40, 7), (3, 4)])
 def test_quantiles_by_group(spark, few, parts):
     r = np.random.default_rng(3)
