@@ -105,6 +105,12 @@ def fits(df: DataFrame, width: Column | int, most: int | None = None) -> bool:
     return size <= (SMALL_BYTES if most is None else most)
 
 
+def slim(df: DataFrame, width: int = 32) -> DataFrame:
+    """``df``, kept; with a hint to broadcast it if its rows, of ``width`` bytes each, may be."""
+    df = cut(df)
+    return F.broadcast(df) if fits(df, width) else df
+
+
 #: Edges (16 bytes each) that one task may join into components.
 FEW = 200_000
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, cut, saved
+from cadenza.llm.common import components, cut, saved, slim
 from cadenza.llm.neardup import _batches, _groups
 
 BLOCK = 512
@@ -230,7 +230,7 @@ def _meet(inside: DataFrame, reps: DataFrame, threshold: float, roots: bool = Fa
 
     id, links (their multiplicity summed), root (with ``roots``, a vector it is connected to in this pair of blocks): a row for each vector and pair.
     """
-    sizes = inside.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = slim(inside.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = inside.join(sizes, "component_id").select("component_id", "id", "copies", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = dealt.select("component_id", "id", "copies", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(reps.select("id", "v"), "id")
@@ -262,7 +262,7 @@ def _bridges(inside: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     Saturated lists hold their own component only, so descent may not see these. By the triangle inequality of angles two blocks can be
     linked only if their centres are no further apart than both radii and the threshold's angle; all such blocks are compared.
     """
-    sizes = inside.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = slim(inside.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     rows = inside.join(sizes, "component_id").select("component_id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "id").join(reps, "id")
     rows = cut(rows.select(F.xxhash64("component_id", "own").alias("block"), "component_id", "id", "dim", "v"))
     angle = float(np.arccos(np.clip(threshold, -1, 1)))
@@ -331,7 +331,7 @@ def _settled(graph: DataFrame, reps: DataFrame, by_v: DataFrame, threshold: floa
     bridged = False
     while True:
         comp = cut(components(links)).withColumnRenamed("node", "id")
-        whole = full.join(comp, "id").select("component_id").distinct()
+        whole = slim(full.join(comp, "id").select("component_id").distinct())
         inside = saved(comp.join(whole, "component_id").join(by_v.select("id", "copies"), "id").select("component_id", "id", "copies"), "saturated")
         if bridged or inside.select("component_id").distinct().count() < 2:
             return links, comp, inside
