@@ -98,12 +98,16 @@ def _gathered(docs: DataFrame, model, text: str, rest: list[str], shards: int) -
             flat = np.concatenate([np.empty(0, np.uint32), *marks])
             lengths = np.array([len(m) for m in marks], np.uint64)
             words = list(number)
+            marks.clear()
+            number.clear()  # the largest things here go as soon as they can
             # frequent words get small numbers, from 1 on; those met once come last, in order of their places, and so need no number but 0
             count = np.bincount(flat, minlength=len(words))
             order = np.argsort(-count, kind="stable")
             place = np.empty(len(words), np.uint64)
             place[order] = np.arange(1, len(words) + 1, dtype=np.uint64)
             place[count == 1] = 0
+            raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+            del words
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, tables[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for t in tables:
@@ -112,13 +116,10 @@ def _gathered(docs: DataFrame, model, text: str, rest: list[str], shards: int) -
             body = pack_pair(numbers, columns)
             name = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
             cut: list[list[int]] = [[] for _ in range(shards)]
-            raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
             for i, w in enumerate(raw):
                 cut[zlib.crc32(w) % shards].append(i)
             asked = [(s, 1, name, pack_pair(pack(steps(np.array(own, np.uint64) + np.uint64(1))), pack_strings([raw[i] for i in own]))) for s, own in enumerate(cut) if own]
             tables.clear()
-            marks.clear()
-            number.clear()
             return [(name % shards, 2, name, body), *asked]
 
         for whole in batches:
