@@ -2,7 +2,7 @@
 
 Two collections of ``tables`` bands, of ``rows`` minima a band, give tables * tables keys by pairing every band of the one
 with every band of the other: 2 * tables * rows minima do the work of 2 * tables**2 * rows. At a Jaccard similarity s a
-pair shares a key with probability (1 - (1 - s**rows)**tables)**2; with 10 and 2, 0.9995 at 0.75, 0.99993 at 0.8 and more
+pair shares a key with probability (1 - (1 - s**rows)**tables)**2; with 14 and 2, 0.99998 at 0.75 and more
 above. Only the bands of the first collection are shuffled (``tables`` rows a text, each with all bands of the second);
 the pairs are formed where rows with equal first bands meet. Rows of a first band that HOT classes share are dealt out once more, by each of their second bands.
 
@@ -352,7 +352,7 @@ def check_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int)
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, tables: int = 10, rows: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, tables: int = 14, rows: int = 2) -> DataFrame:
     """A row per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id, kept.
 
     Null texts, empty ones and such without words have no shingles, link with nothing and stay. Repeated doc_ids are one document
