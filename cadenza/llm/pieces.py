@@ -149,7 +149,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
 
     With ``decoded``, a second new column has what decode(ids) gives. Null and empty texts have the begin and end ids
     only and decode to the empty text. Columns of the same names are replaced, all others stay (the text only if ``keep_text``: it moves with them); every row
-    gives one row, repeated rows and ties included; an empty table gives an empty one.
+    gives one row, repeated rows and ties included; an empty table gives an empty one. A task that is run again must meet the same rows in the same
+    order, as it does with tables.
     """
     with open(model_path, "rb") as f:
         raw = f.read()

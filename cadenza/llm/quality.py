@@ -396,6 +396,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, rounds: int = 3) -> DataFr
     """a, b, fold, perplexity: of each row of ``docs`` (doc_id, text) under the model of the other fold's ``trusted`` texts (text).
 
     a and b, 128 bits of hash of doc_id and text, tell the row; repeated rows come once. Null texts count as empty; of an empty text the end is scored.
+    A task that is run again must meet the same rows in the same order, as it does with tables.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
