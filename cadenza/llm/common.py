@@ -155,7 +155,7 @@ def components(edges: DataFrame, few: int | None = None) -> DataFrame:
     n = e.count()
     while True:
         if n <= few:
-            e = cut(_joined(e))
+            e = cut(_joined(e).repartition("u"))  # else what reads it would have one task as well
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
