@@ -3,6 +3,7 @@
 import math
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,31 @@ def test_live(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("act").agg(F.sum("n_events")).first()[0] == 4
+
+
+def test_separation_of_any_number(spark):
+    # more points than a driver's guard lets through, in several blocks
+    xy = np.random.default_rng(4).random((20_500, 2))
+    c = np.arange(len(xy)) % 3
+    same, other = [], []
+    for i in range(0, len(xy), 500):
+        d = np.sqrt(((xy[i : i + 500, None] - xy) ** 2).sum(axis=2))
+        alike = c[i : i + 500, None] == c
+        same.append((d * alike).sum(axis=1) / (alike.sum(axis=1) - 1))
+        other.append((d * ~alike).sum(axis=1) / (~alike).sum(axis=1))
+    points = spark.createDataFrame([(i, int(k), float(a), float(b)) for i, (k, (a, b)) in enumerate(zip(c, xy, strict=True))], "item_id long, community int, x double, y double")
+    got = embeddings.separation(points).first()
+    assert got.n == len(xy) and abs(got.ratio - np.concatenate(other).mean() / np.concatenate(same).mean()) < 1e-9
+
+
+def test_separation_of_odd_points(spark):
+    # nulls, copies, a key with several points and a community of one, against the SQL of the query
+    from cadenza.plans.queries import ORACLES
+
+    rows = [(1, 0, 0.0, 0.0), (2, 0, 1.0, 0.0), (3, 1, 5.0, 5.0), (4, 1, 6.0, 5.0), (4, 0, 2.0, 2.0), (4, 1, 6.0, 5.0), (5, 1, 6.0, 5.0), (6, 2, 9.0, 1.0), (7, None, 1.0, 1.0), (None, 0, 3.0, 3.0), (8, 0, None, 1.0)]
+    got = embeddings.separation(spark.createDataFrame(rows, "item_id long, community int, x double, y double")).first()
+    c = duckdb.connect()
+    c.execute("create table embeddings (vec_id bigint, label int, embedding double[])")
+    c.executemany("insert into embeddings values (?, ?, ?)", [(k, c_, [x, y]) for k, c_, x, y in rows])
+    n, ratio = c.sql(ORACLES["separation_of_labels"]).fetchall()[0]
+    assert (got.n, round(got.ratio, 6)) == (n, ratio)
