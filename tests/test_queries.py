@@ -136,3 +136,27 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """Events of 5,100 users, more than a sample of users held."""
+    folder = str(tmp_path_factory.mktemp("crowd"))
+    ks = "(1), (11), (21), (32)"
+    c = duckdb.connect()
+    c.execute(f"""copy (select row_number() over () as event_id, timestamp '2024-01-01 00:00:00' + to_seconds(u * 7 + k * 60) as ts, u as user_id, if(k % 2 = 0, 'click', 'view') as event_type,
+        (u % 90)::double as value, '{{"k": ' || k || '}}' as props from range(5100) r(u), (values {ks}) v(k) where (u + k) % 4 > 0) to '{folder}/events.parquet'""")
+    c.execute(f"create view events as from '{folder}/events.parquet'")
+    return folder, c
+
+
+COLISTENED = ["colisten_edges_artist", "colisten_popular", "colisten_warnings", "induced_topn_edges", "subgraph_degree", "colisten_edges_item", "colisten_user_filter", "graph_labels", "matrix_totals"]
+
+
+@pytest.mark.parametrize("name", COLISTENED)
+def test_all_users_count(spark, crowd, name):
+    folder, c = crowd
+    df = QUERIES[name](spark, folder)
+    cols = sorted(df.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(cols).collect()), key=repr)
+    assert got and got == sorted((tuple(map(plain, r)) for r in c.sql(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall()), key=repr)
