@@ -5,16 +5,17 @@ logistic model of what a text has of them (exact terms, misspelled terms, stems,
 automata of its terms are intersected once into a deterministic automaton over characters, which numpy runs over all words
 of a batch side by side; most words are dead after a few characters.
 
-The labelled rows are bounded by a parameter (``max_rows``, by order of a hash of their id), and with them the terms that have enough evidence. All
-of these count; the ``max_fuzzy`` strongest with misspellings, any others as they are spelled. Scoring covers every text in full.
+All labelled rows count that aren't held out, and all terms that have enough evidence, each with its misspellings: more terms than one automaton should
+hold go to several, of which the nearest term counts. Scoring covers every text in full.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ QUOTES = "\"“”„«»‹›‘’'"
 REPORT = frozenset("said says quote quoted quotes called wrote word words term sagte sagt schrieb wort dit écrit mot mots dijo dice palabra escribió".split())
 WINDOW = 40
 DEAD = 0
+#: Terms in one automaton, labels (8 + 4 bytes) that may be broadcast, letters and beginnings a worker holds before it hands them on.
+PART, SMALL, HELD = 60, 6_000_000, 4_000_000
 
 
 def edits_allowed(term: str) -> int:
@@ -147,6 +150,32 @@ class Automaton:
         return w[order], self.term[s[order]], self.distance[s[order]]
 
 
+class Automata:
+    """The same for any number of terms: automata of ``PART`` terms each, the nearest term counts, ties to the first in order."""
+
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()):
+        self.terms = sorted({t for t in terms if t})
+        self.first = range(0, max(1, len(self.terms)), PART)
+        self.parts = [Automaton(self.terms[i : i + PART], strict) for i in self.first]
+        self.stem = np.array([t.endswith("*") for t in self.terms], bool)
+
+    def find(self, code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.parts) == 1:
+            return self.parts[0].find(code, start, stop)
+        found = [a.find(code, start, stop) for a in self.parts]
+        w, far = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
+        term = np.concatenate([f[1] + i for i, f in zip(self.first, found, strict=True)])
+        order = np.lexsort((term, far, w))
+        order = order[np.diff(w[order], prepend=-1) != 0]
+        return w[order], term[order], far[order]
+
+
+@lru_cache(maxsize=1)
+def automata(terms: tuple[str, ...], strict: frozenset[str]) -> Automata:
+    """Those of a model, made once for fitting and scoring."""
+    return Automata(list(terms), strict)
+
+
 _alpha: list[np.ndarray] = []
 
 
@@ -174,8 +203,8 @@ def quoted(text: str, start: int, stop: int) -> bool:
 class Scorer:
     """Finds terms and scores texts in one Python worker."""
 
-    def __init__(self, model: Model, auto: Automaton | None = None):
-        self.model, self.auto = model, auto or Automaton(list(model.terms), model.strict)
+    def __init__(self, model: Model, auto: Automata | None = None):
+        self.model, self.auto = model, auto or Automata(list(model.terms), model.strict)
         self.value = np.array([model.terms[t] for t in self.auto.terms])
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
@@ -220,8 +249,74 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_fuzzy: int = 60, least: int = 8) -> Model:
-    """Learn from the rows of ``labels`` (doc_id, label) that aren't held out, joined to ``docs`` (doc_id, text).
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, bad, good: the different words of toxic and of other texts, those of one group together as far as they meet here."""
+    held: dict[int, list[str]] = {}
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *(pa.array([v[i] for v in held.values()], pa.string()) for i in (0, 1))], names=["g", "bad", "good"])
+
+    for b in batches:
+        for y, g, words in zip(*(b.column(c).to_pylist() for c in ("y", "g", "ws")), strict=True):
+            pair = held.setdefault(g, ["", ""])
+            i = 0 if y > 0 else 1
+            size += len(words) - len(pair[i])
+            pair[i] = " ".join(sorted({*pair[i].split(), *words.split()})) if pair[i] else words
+            size += len(pair[i]) - len(words)
+            if size > HELD:
+                yield out()
+                held.clear()
+                size = 0
+    if held:
+        yield out()
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, n, t, whole: of words and their first 3 to 8 letters the groups that have them, have them in a toxic text, and have them as a word; rows come by group."""
+    n, t, whole = Counter(), Counter(), Counter()
+    heads: dict[str, tuple[str, ...]] = {}
+
+    def of(words: set[str]) -> set[str]:
+        out: set[str] = set()
+        for w in words:
+            if (h := heads.get(w)) is None:
+                h = heads[w] = (*(w[:k] for k in range(3, min(len(w), 9))), w)
+            out.update(h)
+        return out
+
+    def add(bad: set[str], good: set[str]) -> None:
+        toxic = of(bad)
+        n.update(toxic | of(good))
+        t.update(toxic)
+        whole.update(bad | good)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        names = list(n)
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[h] for h in part], pa.int64()) for c in (n, t, whole))], names=["h", "n", "t", "whole"])
+        for c in (n, t, whole, heads):
+            c.clear()
+
+    last, bad, good = None, set(), set()
+    for b in batches:
+        for g, x, y in zip(*(b.column(c).to_pylist() for c in ("g", "bad", "good")), strict=True):
+            if g != last:
+                add(bad, good)
+                last, bad, good = g, set(), set()
+                if len(n) + len(heads) > HELD // 4:
+                    yield from out()
+            bad.update(x.split())
+            good.update(y.split())
+    add(bad, good)
+    yield from out()
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fuzzy: int | None = None, least: int = 8) -> Model:
+    """Learn from all rows of ``labels`` (doc_id, label) that aren't held out, joined to ``docs`` (doc_id, text).
+
+    ``max_fuzzy``: how many of the strongest terms count with misspellings, for callers that want fewer than all.
 
     Words and their first 3 to 8 letters are counted. One can become a term when the lower bound (95 %) of its share of toxic groups is
     three times the share of all or half, in ``least`` groups or more. Of a word's beginnings the shortest such one counts, lengthened as
@@ -229,29 +324,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     toxic ones, give a model without terms. Rows without label or text are left out; of several labels of a doc_id the highest counts.
     """
     pick = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
-    pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows * 12 bytes: may be broadcast
-    rows = docs.where("text is not null").join(F.broadcast(pick), "doc_id").select("y", F.lower("text").alias("text"))
+    rows = docs.where("text is not null").join(F.broadcast(pick) if labels.count() <= SMALL else pick, "doc_id").select("y", F.lower("text").alias("text"))
     words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "")
     triples = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     group = F.array_min(F.transform(F.array(words), triples)[0])  # bound by the outer transform, or each triple would split the text
     kept = F.array_distinct(F.filter(words, lambda w: F.length(w).between(3, 32)))
-    heads = F.transform(F.sequence(F.lit(3), F.lit(8)), lambda k: F.when(F.length("w") >= k, F.substring("w", F.lit(1), k)))
-    seen = rows.select("y", group.alias("g"), kept.alias("ws")).select("y", "g", F.explode("ws").alias("w"))  # the group above would be found again for each word
-    seen = seen.groupBy("w", "g").agg(F.max("y").alias("y"))
-    head = seen.select("y", "g", "w", F.explode(F.array_distinct(F.concat(F.array("w"), F.array_compact(heads)))).alias("h"))
-    per = head.groupBy("h", "g").agg(F.max("y").alias("y"), F.max(F.col("h") == F.col("w")).alias("own"))
-    per = per.groupBy("h").agg(F.count("*").alias("n"), F.sum("y").alias("t"), F.count_if("own").alias("whole")).where(f"n >= {least}")  # whole: groups that have it as a word
+    seen = rows.select("y", group.alias("g"), F.array_join(kept, " ").alias("ws")).mapInArrow(_gathered, "g long, bad string, good string")
+    per = seen.repartition("g").sortWithinPartitions("g").mapInArrow(_beginnings, "h string, n long, t long, whole long")
+    per = per.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "t", "whole")]).where(f"n >= {least}")  # whole: groups that have it as a word
     p, z = F.col("t") / F.col("n"), 1.96
     bound = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     share = rows.groupBy("y").count().collect()  # two counts
     base = sum(r["count"] for r in share if r.y) / max(1, sum(r["count"] for r in share))
-    good = per.withColumn("bound", bound).where(F.col("bound") >= min(3 * base, 0.5))  # of max_rows texts, in ``least`` groups each
+    good = per.withColumn("bound", bound).where(F.col("bound") >= min(3 * base, 0.5))  # in ``least`` groups each
     good = {r.h: r for r in good.collect()}
     terms, n = _choose(good, base)
     strongest = sorted(terms, key=lambda t: (-terms[t] * np.log(n[t]), t))
-    model = Model(terms, strict=frozenset(strongest[max_fuzzy:]))
+    model = Model(terms, strict=frozenset(() if max_fuzzy is None else strongest[max_fuzzy:]))
 
-    auto = Automaton(list(model.terms), model.strict)
+    auto = automata(tuple(model.terms), model.strict)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model, auto)
@@ -259,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             x = s.evidence(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(x[:, i]) for i in range(6))], names=["y", *"abcdef"])
 
-    # only as many rows as labels were picked, in seven numbers each, and those without any term as one count
+    # a row for each different evidence, as counts
     f = rows.select("y", "text").mapInArrow(features, "y int, " + ", ".join(f"{c} double" for c in "abcdef")).groupBy("y", *"abcdef").count().toPandas()
     if f.empty:
         return model
@@ -330,7 +421,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """
     rest = docs.drop(out)
     schema = rest.select("*", F.lit(0.0).alias(out)).schema
-    shared = docs.sparkSession.sparkContext.broadcast((model, Automaton(list(model.terms), model.strict)))  # terms of at most max_rows texts
+    shared = docs.sparkSession.sparkContext.broadcast((model, automata(tuple(model.terms), model.strict)))  # terms and their automata
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*shared.value)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import zlib
 import re
 
 import numpy as np
@@ -323,6 +324,36 @@ def test_toxicity(spark):
     assert toxicity.fit(df, lab.where("false")).terms == {}
 
 
+def test_all_labelled_rows(spark):
+    """A term of eight groups among 32,000 labelled rows: of 20,000 taken by hash it would have had fewer."""
+    labelled = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5]
+    named = set(labelled[:: len(labelled) // 8][:8])
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 5), k -> translate(cast(xxhash64(id, k) as string), '-0123456789', 'abcdefghijk'))) as text").repartition(8)
+    marks = spark.createDataFrame([(i,) for i in named], "doc_id long").withColumn("more", F.lit(" zorblat"))
+    docs = docs.join(marks, "doc_id", "left").select("doc_id", F.concat("text", F.coalesce("more", F.lit(""))).alias("text"))
+    labels = spark.range(40_000).join(marks.withColumnRenamed("doc_id", "id"), "id", "left").selectExpr("id as doc_id", "cast(more is not null as int) as toxic")
+    model = toxicity.fit(docs, labels)
+    assert "zorblat" in {t.removesuffix("*") for t in model.terms}
+
+
+def test_all_terms_misspelt(spark, monkeypatch):
+    """Each of 90 terms counts with an edit, as far as the letters allow; automata of a few terms find what one of all would."""
+    names = ["q" + "".join(chr(97 + int(c)) for c in f"{i * 7919 % 1000:03}") + "zorb" for i in range(90)]
+    texts = [" ".join(words(30, i, 3000) + [names[i % 90]] * (i % 2)) for i in range(2700)]
+    monkeypatch.setattr(toxicity, "PART", 20)
+    model = toxicity.fit(docs_frame(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(2700)], "doc_id long, toxic int"))
+    assert not model.strict and len(model.terms) > 20
+    auto, whole = toxicity.Automata(list(model.terms)), toxicity.Automaton(list(model.terms))
+    assert len(auto.parts) > 1 and auto.terms == whole.terms
+    r = random.Random(3)
+    tried = [n[:k] + r.choice(["", "x", n[k]]) + n[k + 1 :] + r.choice(["", "en"]) for n in names for k in range(len(n))] + [t.removesuffix("*") for t in model.terms]
+    code = np.frombuffer(" ".join(tried).encode("utf-32-le"), np.uint32)
+    stop = np.cumsum([len(t) + 1 for t in tried]) - 1
+    start = stop - [len(t) for t in tried]
+    for x, y in zip(auto.find(code, start, stop), whole.find(code, start, stop), strict=True):
+        assert len(x) and x.tolist() == y.tolist()
+
+
 def test_misspelt(spark):
     """Two edits in a long term and one in a stem, with any tail, count: before, neither did."""
     r = random.Random(10)
