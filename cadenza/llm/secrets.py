@@ -120,18 +120,33 @@ PROSE = (
 )
 
 
-def _made(docs: DataFrame, text: str, classes: list[int], sample: int = 2_000) -> DataFrame:
-    """c, w: decoys made of the letters of ``sample`` texts (by hash) and PROSE, for each class pieces of its least length (512 at most) and, of texts with fewer letters, what they have from 20 on. Runs that may be random themselves, and what holds digits, give no letters.
+def _uneven(word: Column, alpha: float) -> Column:
+    """Whether the uniformity test alone keeps p of a word of letters below ``alpha``, by counting each letter: what language nearly always does, without taking the word apart."""
+    n = F.length(word).cast("double")
+    counts = [n - F.length(F.replace(word, F.lit(c), F.lit(""))) for c in BASE64[:52]]
+    squares = sum((c * c for c in counts[1:]), counts[0] * counts[0])
+    chi, k = len(BASE64) / n * squares - n, len(BASE64)
+    # hex and base32 have other alphabets: these go to the battery
+    return ~word.rlike("^(?:[a-f]+|[A-Z]+)$") & (3 * _tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)) < alpha * 0.999)
+
+
+def _made(docs: DataFrame, text: str, classes: list[int], alpha: float) -> DataFrame:
+    """c, n, ok: counts of decoys made of the letters of all texts and PROSE, and how many pass. For each class all letters of a text are cut into pieces of its least length (512 at most);
+    a text with fewer letters is one piece from 20 on; PROSE, as it may be all there is, at four offsets. Runs that may be random themselves, and words that hold digits, give no letters.
 
     Shorter language passes more often, so what is cut short can only raise the rate.
     """
-    letters = lambda t: F.substring(F.regexp_replace(F.regexp_replace(t, rf"{RUN}|\S*[0-9]\S*", " "), "[^A-Za-z]+", ""), 1, 2048)
-    picked = docs.where(F.length(text) >= 20).select(F.xxhash64(text).alias("h"), letters(F.substring(F.col(text), 1, 8192)).alias("t")).where("length(t) >= 20").orderBy("h", "t").limit(sample)
-    own = picked.select("t").union(docs.sparkSession.range(1).select(letters(F.lit(PROSE))))
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?<!\S)[^\s0-9]*+[0-9]\S*", " "), RUN, " ")
+    letters = lambda t: F.regexp_replace(t, "[^A-Za-z]+", "").alias("t")
+    own = docs.where(F.length(text) >= 20).select(letters(plain)).where("length(t) >= 20").withColumn("last", F.lit(0)).union(docs.sparkSession.range(1).select(letters(F.lit(PROSE)), F.lit(3)))
     least = F.least(F.ceil(F.pow(F.lit(2.0), F.col("c") / 2)), F.lit(512)).cast("int")
-    rows = own.withColumn("c", F.explode(F.array(*map(F.lit, classes)))).withColumn("n", F.least(least, F.length("t")))
-    starts = F.sequence(F.lit(1), F.length("t") - F.col("n") + 1, F.greatest(F.lit(1), F.floor(F.col("n") / 4)).cast("int"))
-    return rows.select("c", F.explode(F.slice(starts, 1, 40)).alias("at"), "t", "n").select("c", F.substring("t", F.col("at"), F.col("n")).alias("w"))
+    rows = own.withColumn("c", F.explode(F.array(*map(F.lit, classes)))).withColumn("n", F.least(least, F.length("t"))).withColumn("k", F.explode(F.sequence(F.lit(0), "last")))
+    rows = rows.withColumn("t", F.when(F.col("k") > 0, F.substring("t", F.col("k") * F.floor(F.col("n") / 4).cast("int") + 1, F.length("t"))).otherwise(F.col("t")))
+    # the pattern cuts in one pass, where a substring would count its way from the start
+    cut = F.regexp_extract_all("t", F.concat(F.lit("[A-Za-z]{"), F.col("n").cast("string"), F.lit("}")), F.lit(0))
+    pieces = rows.select("c", F.explode(cut).alias("w"))
+    ok = F.when(_uneven(F.col("w"), alpha), F.lit(False)).otherwise(battery(F.col("w")) >= alpha)
+    return pieces.select("c", ok.alias("ok")).groupBy("c").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
 
 
 def length_classes(docs: DataFrame, text: str = "text", alpha: float = 0.01, fdr: float = 0.05, least_decoys: int = 20) -> list[int]:
@@ -151,8 +166,7 @@ def length_classes(docs: DataFrame, text: str = "text", alpha: float = 0.01, fdr
             few.append(c)
     made = {}
     if few:
-        pieces = _made(docs, text, few).select("c", (battery(F.col("w")) >= alpha).alias("ok"))
-        made = {r.c: (r.n, r.ok) for r in pieces.groupBy("c").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).collect()}
+        made = {r.c: (r.n, r.ok) for r in _made(docs, text, few, alpha).collect()}  # a row per class
     good, decoys, passed = [], 0, 0
     for c in sorted({c for c, _ in rows}):
         n, ok = rows.get((c, True), (0, 0))

@@ -561,6 +561,23 @@ def test_random_spans_by_hand(spark):
     assert any("random" in x for x in got.values())
 
 
+def test_decoys_of_all_texts(spark):
+    """Decoys are made of all letters of all texts, none of 2,000 texts and their first letters; they pass as the battery says."""
+    r = random.Random(21)
+    texts = [" ".join(r.choices(["the", "garden", "Window", "older", "abc9", "é", "of", "x" * 30], k=12)) for _ in range(2_500)] + ["".join(r.choices(secrets.BASE64[:52], k=19)) + " " for _ in range(3)]
+    texts += [" ".join("".join(r.choices(secrets.BASE64[:52], k=15)) for _ in range(400)), " ".join(["fade", "bead", "cafe"] * 20), " ".join(["CAFE", "ZEBRA", "QUICK"] * 20), None, ""]
+    want = collections.defaultdict(list)
+    for t in [*texts, secrets.PROSE]:
+        left = re.sub(secrets.RUN, " ", " ".join("" if re.search("[0-9]", w) else w for w in re.split(r"\s", t or "")))
+        left = re.sub("[^A-Za-z]+", "", left)
+        for c in (9, 11) if len(t or "") >= 20 and len(left) >= 20 else ():
+            n = min(math.ceil(2 ** (c / 2)), len(left))
+            starts = [k for s in range(4 if t == secrets.PROSE else 1) for k in range(s * (n // 4), len(left) - n + 1, n)]
+            want[c] += [brute_battery(left[k : k + n]) >= 0.01 for k in starts]
+    got = {x.c: (x.n, x.ok) for x in secrets._made(docs_frame(spark, texts), "text", [9, 11], 0.01).collect()}
+    assert got == {c: (len(v), sum(v)) for c, v in want.items()} and got[9][1] > 50
+
+
 def test_random_keys_without_long_words(spark):
     """Random keys are found where no run of 20 letters gives a decoy, and alike with some; prose alone gives none."""
     r = random.Random(12)
