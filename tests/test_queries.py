@@ -160,3 +160,27 @@ def test_all_users_count(spark, crowd, name):
     cols = sorted(df.columns)
     got = sorted((tuple(map(plain, r)) for r in df.select(cols).collect()), key=repr)
     assert got and got == sorted((tuple(map(plain, r)) for r in c.sql(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall()), key=repr)
+
+
+def odd_events(folder, rows):
+    """Events of (ts, user_id, props) as a table, and a connection to it."""
+    c = duckdb.connect()
+    c.execute("create table e (ts timestamp, user_id bigint, props varchar)")
+    c.executemany("insert into e values (?, ?, ?)", rows)
+    c.execute(f"copy (select row_number() over () as event_id, ts, user_id, 'click' as event_type, 50.0::double as value, props from e) to '{folder}/events.parquet'")
+    c.execute(f"create view events as from '{folder}/events.parquet'")
+    return c
+
+
+def same_as_sql(spark, folder, c, name):
+    df = QUERIES[name](spark, folder)
+    cols = sorted(df.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(cols).collect()), key=repr)
+    return got and got == sorted((tuple(map(plain, r)) for r in c.sql(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["colisten_popular", "colisten_warnings", "colisten_user_filter"])
+def test_events_without_user(spark, tmp_path, name):
+    heard = [(u, k) for u in range(40) for k in (1, 11, 21)] + [(u, 55) for u in [*range(9), None]]  # 55 has nine listeners, ten would be popular
+    c = odd_events(tmp_path, [(f"2024-01-02 10:00:{k}", u, f'{{"k": {k}}}') for u, k in heard])
+    assert same_as_sql(spark, str(tmp_path), c, name)
