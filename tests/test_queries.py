@@ -184,3 +184,11 @@ def test_events_without_user(spark, tmp_path, name):
     heard = [(u, k) for u in range(40) for k in (1, 11, 21)] + [(u, 55) for u in [*range(9), None]]  # 55 has nine listeners, ten would be popular
     c = odd_events(tmp_path, [(f"2024-01-02 10:00:{k}", u, f'{{"k": {k}}}') for u, k in heard])
     assert same_as_sql(spark, str(tmp_path), c, name)
+
+
+@pytest.mark.parametrize("name", ["colisten_warnings", "induced_topn_edges", "subgraph_degree", "colisten_edges_item", "graph_labels"])
+def test_events_before_the_first_tick(spark, tmp_path, name):
+    """1 is heard three seconds before noon and 11 three seconds after it, on other days as days go from noon to noon."""
+    heard = [("2023-12-11 11:59:57", 1), ("2023-12-11 12:00:03", 11), ("2024-01-02 10:00:00", 21), ("2024-01-02 11:00:00", 32)]
+    c = odd_events(tmp_path, [(ts, u, f'{{"k": {k}}}') for u in range(40) for ts, k in heard])
+    assert same_as_sql(spark, str(tmp_path), c, name)
