@@ -192,3 +192,10 @@ def test_events_before_the_first_tick(spark, tmp_path, name):
     heard = [("2023-12-11 11:59:57", 1), ("2023-12-11 12:00:03", 11), ("2024-01-02 10:00:00", 21), ("2024-01-02 11:00:00", 32)]
     c = odd_events(tmp_path, [(ts, u, f'{{"k": {k}}}') for u in range(40) for ts, k in heard])
     assert same_as_sql(spark, str(tmp_path), c, name)
+
+
+@pytest.mark.parametrize("name", ["colisten_popular", "colisten_user_filter", "colisten_edges_item"])
+def test_items_of_odd_props(spark, tmp_path, name):
+    props = ['{"k": 1}', '{"a": {"k": 11}}', '{"k": 21, "k": 7}', '{"k": 32.5}', '{"k": 0043', '{"k":54}']
+    c = odd_events(tmp_path, [(f"2024-01-02 10:{i}:00", u, p) for u in range(40) for i, p in enumerate([*props, None])])
+    assert same_as_sql(spark, str(tmp_path), c, name)
